@@ -196,14 +196,15 @@ def least(levels: np.ndarray, base: float) -> np.ndarray:
     return np.where(levels > 0, np.ceil(base ** (levels - 1.0) - 1e-9), 0.0)
 
 
-def _score(order: int, base: float, mu: float, total: int, vocabulary: int, sent, names: list[str] | None):
+def _score(order: int, base: float, mu: float, total: int, vocabulary: int, resident, sent, names: list[str] | None):
     """One pass: log10 p over the positions whose longest n-gram is in this pass.
 
     The first pass, which carries the columns ``names``, adds the base sums of frequent words and the keys of the others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unigrams, ngrams, head_keys, head_counts, cells_here = sent.value
+        unigrams, head_keys, head_counts = resident.value
+        ngrams, cells_here = sent.value
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             for lo, hi, w in W.slices(b.column("text"), lower=True):
@@ -225,7 +226,7 @@ def _score(order: int, base: float, mu: float, total: int, vocabulary: int, sent
                 rows = np.arange(row, row + n)
                 row += n
                 if names is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(part)], names=["row", "part"])
+                    yield pa.RecordBatch.from_arrays([b.column("hash").slice(lo, n), pa.array(part)], names=["hash", "part"])
                     continue
                 found = np.searchsorted(head_keys, distinct)
                 found[found == len(head_keys)] = 0
@@ -270,7 +271,7 @@ def score_texts(
     mu: float = 64.0,
     bits_each: float = 10.0,
     head_words: int = 1 << 19,
-    max_filter_bytes: int = 128 << 20,
+    max_filter_bytes: int = 48 << 20,
 ) -> DataFrame:
     """``docs`` with n_tokens, n_known, train_tokens, base_score and score, from a model of the rows where ``training`` holds.
 
@@ -317,8 +318,10 @@ def score_texts(
         raise ValueError("n-grams of more than two words need one pass: raise max_filter_bytes")
 
     kept = [c for c in docs.columns if c != text]
-    names = [f"c{k}" for k in range(len(kept))]
+    names = [*(f"c{k}" for k in range(len(kept))), "hash"]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    texts = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    resident = spark.sparkContext.broadcast((unigrams, head_keys, head_counts))
     scored: list[DataFrame] = []
     for i, here in enumerate(passes):
         ngrams = Filter(gathered(cells.filter(F.col("cell").isin(here)).select("cell", "gram_bits")) if here else {}, fold=True)
@@ -328,17 +331,20 @@ def score_texts(
             mine[here] = True
             if not i:
                 mine |= ~np.isin(np.arange(CELLS), [r["cell"] for r in sizes])
-        sent = spark.sparkContext.broadcast((unigrams, ngrams, head_keys, head_counts, mine))
-        run = _score(order, base, mu, total, vocabulary, sent, None if i else names)
+        sent = spark.sparkContext.broadcast((ngrams, mine))
+        del ngrams
+        run = _score(order, base, mu, total, vocabulary, resident, sent, None if i else names)
         if i:
-            scored.append(written(map_arrow(docs.select(F.col(text).alias("text")), run, "row long, part double"), "lm-pass"))
-            continue
-        df = map_arrow(
-            docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(kept, names, strict=True)), F.col(text).alias("text")),
-            run,
-            ", ".join([*(f"{x} {types[c]}" for c, x in zip(kept, names, strict=True)), "row long, n_tokens long, head_known long, head_sum double, rest array<long>, part double"]),
-        )
+            df = map_arrow(docs.select(F.xxhash64(texts).alias("hash"), texts.alias("text")), run, "hash long, part double")
+        else:
+            carried = [F.col(f"`{c}`").alias(x) for c, x in zip(kept, names, strict=False)]
+            df = map_arrow(
+                docs.select(*carried, F.xxhash64(texts).alias("hash"), texts.alias("text")),
+                run,
+                ", ".join([*(f"{x} {types[c]}" for c, x in zip(kept, names, strict=False)), "hash long, row long, n_tokens long, head_known long, head_sum double, rest array<long>, part double"]),
+            )
         scored.append(written(df, "lm-scores"))
+        sent.unpersist()
 
     one = scored[0]
     rest = (
@@ -349,10 +355,11 @@ def score_texts(
     )
     joined = one.drop("rest").join(rest, "row", "left")
     if len(scored) > 1:
+        scored = [one, *(x.groupBy("hash").agg(F.first("part").alias("part")) for x in scored[1:])]  # equal texts score alike
         more = scored[1]
         for x in scored[2:]:
             more = more.unionAll(x)
-        joined = joined.join(more.groupBy("row").agg(F.sum("part").alias("more")), "row")
+        joined = joined.join(more.groupBy("hash").agg(F.sum("part").alias("more")), "hash")
     else:
         joined = joined.withColumn("more", F.lit(0.0))
     new = {
@@ -362,4 +369,4 @@ def score_texts(
         "base_score": F.col("head_sum") + F.coalesce("rest_sum", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + vocabulary + 1)),
         "score": F.col("part") + F.col("more"),
     }
-    return joined.select(*(F.col(x).alias(c) for c, x in zip(kept, names, strict=True) if c not in new), *(x.alias(c) for c, x in new.items()))
+    return joined.select(*(F.col(x).alias(c) for c, x in zip(kept, names, strict=False) if c not in new), *(x.alias(c) for c, x in new.items()))

@@ -42,6 +42,18 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomhouse.llm.simhash_golay import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomhouse.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomhouse.llm.token_output import tokens_of
 

@@ -172,20 +172,9 @@ def _covers(window: int):
     return run
 
 
-def without(w: W.Words, removed: np.ndarray) -> Iterator[bytes]:
+def without(w: W.Words, removed: np.ndarray) -> Iterator[memoryview]:
     """Each text's kept words, joined by one space."""
-    n = len(w.first) - 1
-    kept = np.flatnonzero(~removed)
-    owner = w.owner()[kept]
-    more = np.append(owner[1:] == owner[:-1], False) if len(kept) else np.empty(0, bool)
-    step = np.zeros(len(w.data) + 1, np.int8)
-    step[w.start[kept]] += 1
-    to = w.end[kept] + more
-    np.subtract.at(step, to, 1)
-    inside = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
-    data = w.data[inside]
-    data = np.where(W._IS_SPACE[data], np.uint8(32), data)
-    ends = np.cumsum(np.bincount(owner, to - w.start[kept], n)).astype(np.int64) if len(kept) else np.zeros(n, np.int64)
+    data, _, _, ends = W.joined(w, np.flatnonzero(~removed))
     view, at = memoryview(data), 0
     for e in ends.tolist():
         yield view[at:e]
