@@ -19,6 +19,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
+#: All ASCII but letters and digits parts words.
+NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
@@ -84,11 +86,11 @@ def _cut(space: np.ndarray, at: int) -> int:
     return len(space)
 
 
-def split(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> Words:
+def split(data: np.ndarray, bounds: np.ndarray, lower: bool = False, between: np.ndarray = _IS_SPACE) -> Words:
     """Words of the texts ``data[bounds[i]:bounds[i + 1]]``, ``bounds[0]`` being 0; keys are made in pieces of bounded size."""
     if lower:
         data = _LOWER[data]
-    space = _IS_SPACE[data]
+    space = between[data]
     word = np.empty(len(data) + 2, bool)
     word[0] = word[-1] = False
     np.logical_not(space, out=word[1:-1])
@@ -121,9 +123,9 @@ def texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         at = to
 
 
-def slices(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+def slices(column: pa.Array, lower: bool = False, between: np.ndarray = _IS_SPACE) -> Iterator[tuple[int, int, Words]]:
     for at, to, data, bounds in texts(column):
-        yield at, to, split(data, bounds, lower)
+        yield at, to, split(data, bounds, lower, between)
 
 
 def ragged(counts: np.ndarray) -> np.ndarray:
