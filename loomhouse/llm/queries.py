@@ -55,6 +55,14 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomhouse.llm.language_id import identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    held_out = bucket_of(F.col("doc_id"), 5) == 0
+    return identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomhouse.llm.substring_dedup import remove_repeats
 
