@@ -49,6 +49,18 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as WARC archives against a replica in which every 97th page has its first letter e changed and every 89th is missing."""
+    from loomhouse.llm.shared import written
+    from loomhouse.llm.warc_fixity import archived, audit
+
+    placed = written(archived(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("archive", "offset", "length", "page_id", "record"), "warc")
+    spoilt = F.when(F.col("page_id") % 97 == 0, F.regexp_replace("record", "(?s)^(.*?)e", "$1E")).otherwise(F.col("record"))
+    replica = placed.filter("page_id is null or page_id % 89 <> 0").withColumn("record", spoilt)
+    found = audit(placed.select("archive", "offset", "record"), replica.select("archive", "offset", "record"))
+    return found.join(placed.select("archive", "offset", "page_id"), ["archive", "offset"]).select("page_id", "state", "length", "digest", "other_length", "other_digest")
+
+
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomhouse.llm.simhash_golay import near_groups
 
@@ -104,6 +116,19 @@ ORACLE = {
         SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY nth) AS keep_id,
                count(*) OVER (PARTITION BY text_sha256) AS group_size, nth = 1 AS kept, text_sha256 FROM r
     """,
+    "op6_warc_fixity": r"""
+        WITH r AS (
+            SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:loomhouse:' || coalesce(page_id::VARCHAR, 'none') || '>'
+                   || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+                   || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+            FROM pages),
+        p AS (
+            SELECT *, page_id % 89 = 0 AS gone, CASE WHEN page_id % 97 = 0 THEN substr(record, 1, instr(record, 'e') - 1) || 'E' || substr(record, instr(record, 'e') + 1) ELSE record END AS other
+            FROM r WHERE page_id % 97 = 0 OR page_id % 89 = 0)
+        SELECT page_id, CASE WHEN gone THEN 'missing' ELSE 'corrupt' END AS state, strlen(record) AS length, sha256(record) AS digest,
+               CASE WHEN NOT gone THEN strlen(other) END AS other_length, CASE WHEN NOT gone THEN sha256(other) END AS other_digest
+        FROM p
+    """,
     "op5_source_mixing": rf"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents),
         s AS (SELECT source, sum(size)::HUGEINT AS source_size FROM d GROUP BY source),
