@@ -1 +1 @@
-
+"""Queries over the warehouse, by name, and the SQL that gives the same rows."""
