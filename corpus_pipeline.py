@@ -6,7 +6,7 @@ written as Parquet in the shared folder and reread as the next stage's input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomhouse.llm.decontamination import find_leaks
@@ -21,13 +21,15 @@ LEAST_SCORE = 0.4
 #: Keys of dropped documents are broadcast up to so many (24 bytes each); beyond, the join is shuffled.
 MOST_BROADCAST = 500_000
 
-text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` but for those whose id and text hash are in ``dropped`` (doc_id, text_hash)."""
     keys = written(dropped.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "dropped")
-    keyed = docs.withColumn("__text_hash", text_hash)
+    keyed = docs.withColumn("__text_hash", text_hash())
     return keyed.join(broadcast_below(keys, MOST_BROADCAST), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_anti").select(*docs.columns)
 
 
@@ -44,7 +46,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return without(docs, find_leaks(docs.select("doc_id", text_hash.alias("text_hash"), "text"), table(spark, sf_dir, "benchmark")))
+    return without(docs, find_leaks(docs.select("doc_id", text_hash().alias("text_hash"), "text"), table(spark, sf_dir, "benchmark")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,53 +123,93 @@ def read_shard(data: bytes) -> tuple[np.void, np.ndarray, np.ndarray, np.ndarray
 class WordEncoder:
     """Ids of texts, word by word, for tokenizers that never join what ASCII white space parts.
 
-    The ids of words are kept, up to ``most`` words; then the memory starts anew.
+    The ids of words are kept, up to ``most`` words; then the memory starts anew. ``plain`` is for tokenizers that also lower the case, take a
+    run of letters as one piece (which ends in an id of its own kind, ``</w>``) and other signs as pieces apart: there, new words of letters are
+    encoded many at a time, and full stops and commas after letters apart from them.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000, plain: bool = True):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.plain = Tokenizer.from_file(path), most, plain
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {"": 0}
-        self.start, self.length, self.flat, self.used = np.zeros(self.most, np.int64), np.zeros(self.most, np.int64), np.empty(1 << 20, np.uint32), 0
+        self.start, self.length, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.empty(1 << 18, np.uint32), 0
+
+    def keep(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, total = len(self.known), len(ids)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        while n + len(words) > len(self.start):
+            self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length))
+        self.flat[self.used : self.used + total] = ids
+        self.length[n : n + len(words)] = lengths
+        self.start[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.used += total
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        lengths = self.length[at]
+        return self.flat[np.repeat(self.start[at], lengths) + W.ragged(lengths)]
 
     def learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 8192):
-            some = new[i : i + 8192]
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            n, total = len(self.known), int(lengths.sum())
-            if self.used + total > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.empty(max(len(self.flat), total), np.uint32)))
-            if n + len(some) > len(self.start):
-                self.start, self.length = (np.concatenate((x, np.zeros(max(len(x), len(some)), np.int64))) for x in (self.start, self.length))
-            self.flat[self.used : self.used + total] = [x for one in got for x in one]
-            self.length[n : n + len(some)] = lengths
-            self.start[n : n + len(some)] = self.used + np.cumsum(lengths) - lengths
-            self.used += total
-            self.known.update(zip(some, range(n, n + len(some)), strict=True))
+        letters, others, built = set(), [], []
+        for w in new:
+            core = w.rstrip(".,") if self.plain else ""
+            if core.isalpha() and max(core) < "\u0100":  # beyond, lower case or composition may part a word
+                low = core.lower() if core.isascii() else core
+                letters.add(low)
+                if low != w:
+                    built.append((w, low, w[len(core) :]))
+            else:
+                others.append(w)
+        others = sorted(x for x in {*others, *(tail for *_, tail in built)} if x not in self.known)
+        for i in range(0, len(others), 4096):
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(others[i : i + 4096], add_special_tokens=False)]
+            self.keep(others[i : i + 4096], np.array([x for one in got for x in one], np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+        letters = sorted(x for x in letters if x not in self.known)
+        for i in range(0, len(letters), 32):
+            some = letters[i : i + 32]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            self.keep(some, ids, np.diff(ends, prepend=0))
+        if built:
+            parts = np.array([[self.known[core], self.known[tail]] for _, core, tail in built])
+            self.keep([w for w, *_ in built], self.of(parts.ravel()), self.length[parts].sum(1))
 
     def encode(self, text: str) -> np.ndarray:
         for c in "\t\n\x0b\x0c\r":
             text = text.replace(c, " ")
         words = text.split(" ")
-        if new := set(words).difference(self.known):
+        at = [*map(self.known.get, words)]
+        if None in at:
+            new = {w for w, i in zip(words, at, strict=True) if i is None}
             if len(self.known) + len(new) > self.most and len(self.known) > 1:
                 self.clear()
                 new = set(words) - {""}
-            self.learn(sorted(new))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        lengths = self.length[at]
-        return self.flat[np.repeat(self.start[at], lengths) + W.ragged(lengths)]
+            self.learn([*new])
+            at = [*map(self.known.__getitem__, words)]
+        return self.of(np.array(at))
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which later tasks use again."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
-def _shards(make: Callable, end: int, ids_each: int):
+def _shards(tokenizer: str, end: int, ids_each: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, partition, chunk = make(), TaskContext.get().partitionId(), 0
+        encoder, partition, chunk = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         doc_ids, ids, held = [], [], 0
 
         def out() -> pa.RecordBatch:
@@ -195,7 +235,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 1, id_co
     """Write the ids of every whole text (null: empty), each followed by ``end``, to shards of about ``ids_each`` ids under ``path``."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     ordered = rows.repartitionByRange(F.col("id")).sortWithinPartitions("id", F.xxhash64("text"))
-    files = map_arrow(ordered, _shards(lambda: WordEncoder(tokenizer), end, ids_each), "file binary")
+    files = map_arrow(ordered, _shards(tokenizer, end, ids_each), "file binary")
     files.select(F.col("file").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
