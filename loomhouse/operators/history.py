@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomhouse.functions import numbered, row_digest
+from loomhouse.session import stored
 
 TRACKED = ("region", "country", "segment")
 COLUMNS = ("customer_key", "customer_id", *TRACKED, "valid_from", "valid_to", "is_current")
@@ -53,11 +54,11 @@ def apply_feed(history: DataFrame, feed: DataFrame) -> DataFrame:
     hashed = filled.withColumn("hash", row_digest(*TRACKED))
     kept = hashed.withColumn("before", F.lag("hash").over(order)).filter("before is null or hash <> before")
     following = F.lead("valid_from").over(order)
-    versions = kept.withColumns({"valid_to": F.date_sub(following, 1), "is_current": following.isNull()})
+    versions = stored(kept.withColumns({"valid_to": F.date_sub(following, 1), "is_current": following.isNull()}), "versions")
     largest = history.agg(F.max("customer_key")).first()[0] or 0
     fresh = numbered(versions.filter("seq > 0").drop("customer_key"), "seq", name="customer_key", after=largest)
-    untouched = history.join(touched, "customer_id", "left_anti").unionByName(history.filter("not is_current").join(touched, "customer_id", "left_semi"))
-    return untouched.select(*COLUMNS).unionByName(versions.filter("seq = 0").select(*COLUMNS)).unionByName(fresh.select(*COLUMNS))
+    marked = history.join(touched.withColumn("touched", F.lit(True)), "customer_id", "left").filter("touched is null or not is_current")
+    return stored(marked.select(*COLUMNS), "untouched").unionByName(versions.filter("seq = 0").select(*COLUMNS)).unionByName(fresh.select(*COLUMNS))
 
 
 def valid_at(date: Column, inclusive: bool = False) -> Column:

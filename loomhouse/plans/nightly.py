@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomhouse.functions import share
@@ -12,8 +12,12 @@ from loomhouse.plans.warehouse import Warehouse
 
 NIGHT, LATER = 12, 20
 
-n_rows = F.count(F.lit(1))
-ok = F.col("status") == "success"
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))
+
+def ok() -> Column:
+    return F.col("status") == "success"
 
 
 def _of_night(w: Warehouse, night: int) -> DataFrame:
@@ -32,8 +36,8 @@ def n8_tracking_state(w: Warehouse) -> DataFrame:
 
 
 def n10_storage(w: Warehouse) -> DataFrame:
-    whole = w.periodic_snapshots.agg(n_rows.alias("periodic_rows"))
-    step = w.incremental_base_snapshot.select("customer_id").unionByName(w.incremental_deltas.select("customer_id")).agg(n_rows.alias("incremental_rows"))
+    whole = w.periodic_snapshots.agg(n_rows().alias("periodic_rows"))
+    step = w.incremental_base_snapshot.select("customer_id").unionByName(w.incremental_deltas.select("customer_id")).agg(n_rows().alias("incremental_rows"))
     return whole.crossJoin(step).withColumn("storage_ratio", share(F.col("periodic_rows"), F.col("incremental_rows")))
 
 
@@ -43,18 +47,18 @@ def c1_storage_rows(w: Warehouse) -> DataFrame:
 
 def c2_gaps(w: Warehouse) -> DataFrame:
     """Nights without a successful run of either kind; night 1, which has no increment, is one."""
-    done = lambda kind: F.max(F.when(ok & (F.col("snapshot_type") == kind), 1).otherwise(0))
+    done = lambda kind: F.max(F.when(ok() & (F.col("snapshot_type") == kind), 1).otherwise(0))
     joined = snapshots.nights(w.spark).join(w.snapshot_job_history.select("night_number", "snapshot_type", "status"), "night_number", "left")
     return joined.groupBy("night_number").agg(done("periodic").alias("periodic_success"), done("incremental").alias("incremental_success")).filter("periodic_success = 0 or incremental_success = 0")
 
 
 def c2b_gaps_anti(w: Warehouse) -> DataFrame:
     """Nights without any successful run."""
-    return snapshots.nights(w.spark).join(w.snapshot_job_history.filter(ok), "night_number", "left_anti")
+    return snapshots.nights(w.spark).join(w.snapshot_job_history.filter(ok()), "night_number", "left_anti")
 
 
 def c3a_exact_night(w: Warehouse) -> DataFrame:
-    return w.periodic_snapshots.filter(F.col("night_number") == NIGHT).agg(n_rows.alias("rows_returned"))
+    return w.periodic_snapshots.filter(F.col("night_number") == NIGHT).agg(n_rows().alias("rows_returned"))
 
 
 def c3b_fallback(w: Warehouse) -> DataFrame:
@@ -68,7 +72,7 @@ def c3c_replay(w: Warehouse) -> DataFrame:
 
 def _naive(w: Warehouse) -> DataFrame:
     missing = w.incremental_deltas.filter(F.col("night_number") == NIGHT).select("customer_id")
-    return w.incremental_base_snapshot.select("customer_id").subtract(missing).agg(n_rows.alias("delta_rows"))
+    return w.incremental_base_snapshot.select("customer_id").subtract(missing).agg(n_rows().alias("delta_rows"))
 
 
 def c4_naive_delta(w: Warehouse) -> DataFrame:
@@ -76,7 +80,7 @@ def c4_naive_delta(w: Warehouse) -> DataFrame:
 
 
 def c5_defensive_delta(w: Warehouse) -> DataFrame:
-    return w.incremental_deltas.filter(F.col("night_number") == NIGHT + 1).agg(n_rows.alias("delta_rows"))
+    return w.incremental_deltas.filter(F.col("night_number") == NIGHT + 1).agg(n_rows().alias("delta_rows"))
 
 
 def c6_verification(w: Warehouse) -> DataFrame:
@@ -88,7 +92,7 @@ def c6_verification(w: Warehouse) -> DataFrame:
 
 
 def c7_health(w: Warehouse) -> DataFrame:
-    point = w.snapshot_job_history.filter(ok & (F.col("snapshot_type") == "incremental")).agg(F.max("checkpoint_night").alias("checkpoint_night"))
+    point = w.snapshot_job_history.filter(ok() & (F.col("snapshot_type") == "incremental")).agg(F.max("checkpoint_night").alias("checkpoint_night"))
     twice = checks.duplicate_keys(w.incremental_deltas, "customer_id", "night_number").withColumnRenamed("violations", "duplicate_deltas")
     ratio = n10_storage(w).select("storage_ratio", (F.col("storage_ratio") > 5).alias("storage_healthy"))
     return point.crossJoin(ratio).crossJoin(c6_verification(w).select("mismatches")).crossJoin(twice)
@@ -106,7 +110,7 @@ def k1_around_failure(w: Warehouse) -> DataFrame:
 
 
 def k2_first_successes(w: Warehouse) -> DataFrame:
-    return _increments(w).filter(ok).select(*JOB).orderBy("night_number").limit(10)
+    return _increments(w).filter(ok()).select(*JOB).orderBy("night_number").limit(10)
 
 
 def k3_checkpoint_at_failure(w: Warehouse) -> DataFrame:
@@ -118,7 +122,7 @@ def k4_checkpoints(w: Warehouse) -> DataFrame:
 
 
 def k5_safe_checkpoint(w: Warehouse) -> DataFrame:
-    return _increments(w).filter(ok & (F.col("checkpoint_night") <= NIGHT)).agg(F.max("checkpoint_night").alias("safe_checkpoint_to_use"))
+    return _increments(w).filter(ok() & (F.col("checkpoint_night") <= NIGHT)).agg(F.max("checkpoint_night").alias("safe_checkpoint_to_use"))
 
 
 def r0_changed_rows(w: Warehouse) -> DataFrame:
@@ -149,11 +153,11 @@ def r3_idempotent_retry(w: Warehouse) -> DataFrame:
 
 
 def _sizes(w: Warehouse) -> DataFrame:
-    return w.incremental_deltas.groupBy("night_number").agg(n_rows.alias("n"))
+    return w.incremental_deltas.groupBy("night_number").agg(n_rows().alias("n"))
 
 
 def v1_delta_bound(w: Warehouse) -> DataFrame:
-    total = w.customer_baseline.agg(n_rows.alias("customers"))
+    total = w.customer_baseline.agg(n_rows().alias("customers"))
     largest = _sizes(w).agg(F.max("n").alias("max_delta"))
     return largest.crossJoin(total).withColumn("passed", F.col("max_delta") * 20 < F.col("customers"))
 
@@ -171,7 +175,7 @@ def v3_checksum(w: Warehouse) -> DataFrame:
 
 
 def v4_anomaly(w: Warehouse) -> DataFrame:
-    got = _sizes(w).agg(F.max("n").alias("max_delta"), F.sum("n").alias("total"), n_rows.alias("nights"))
+    got = _sizes(w).agg(F.max("n").alias("max_delta"), F.sum("n").alias("total"), n_rows().alias("nights"))
     average = share(F.col("total"), F.col("nights"))
     bar = F.greatest(average * 5, F.lit(10.0))
     return got.select("max_delta", average.alias("avg_delta"), bar.alias("threshold"), (F.col("max_delta") < bar).alias("passed"), (F.col("max_delta") < average * 5).alias("passed_without_floor"))
@@ -182,7 +186,7 @@ def v5_naive_flagged(w: Warehouse) -> DataFrame:
 
 
 def d1_status(w: Warehouse) -> DataFrame:
-    return w.snapshot_job_history.agg(F.max("checkpoint_night").alias("current_checkpoint"), F.count_if(ok).alias("successful_jobs"), F.count_if(F.col("status") == "failed").alias("failed_jobs"))
+    return w.snapshot_job_history.agg(F.max("checkpoint_night").alias("current_checkpoint"), F.count_if(ok()).alias("successful_jobs"), F.count_if(F.col("status") == "failed").alias("failed_jobs"))
 
 
 def d2_storage(w: Warehouse) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomhouse.functions import MONEY, cents, rounded, share
@@ -12,7 +12,9 @@ from loomhouse.plans.warehouse import Warehouse
 
 YEAR, SEGMENT, CUSTOMER = 1996, "BUILDING", 10
 
-n_rows = F.count(F.lit(1))
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def s0_enriched_fact(w: Warehouse) -> DataFrame:
@@ -32,7 +34,7 @@ def s5_integrity(w: Warehouse) -> DataFrame:
 
 
 def _summary(df: DataFrame) -> DataFrame:
-    return df.agg(n_rows.alias("total_rows"), F.count_distinct("customer_id").alias("distinct_customers"), F.count_if("is_current").alias("current_records"), F.count_if(F.col("valid_to").isNull()).alias("open_records"))
+    return df.agg(n_rows().alias("total_rows"), F.count_distinct("customer_id").alias("distinct_customers"), F.count_if("is_current").alias("current_records"), F.count_if(F.col("valid_to").isNull()).alias("open_records"))
 
 
 def s6_load_summary(w: Warehouse) -> DataFrame:
@@ -44,7 +46,7 @@ def s8_change_detection(w: Warehouse) -> DataFrame:
 
 
 def s9_unmatched_feed(w: Warehouse) -> DataFrame:
-    return history.unmatched(w.initial_scd2, w.feed).agg(n_rows.alias("violations"))
+    return history.unmatched(w.initial_scd2, w.feed).agg(n_rows().alias("violations"))
 
 
 def s9_point_lookup(w: Warehouse) -> DataFrame:
@@ -56,7 +58,7 @@ def s10_next_key(w: Warehouse) -> DataFrame:
 
 
 def _versions(df: DataFrame) -> DataFrame:
-    return df.groupBy("customer_id").agg(n_rows.alias("version_count"))
+    return df.groupBy("customer_id").agg(n_rows().alias("version_count"))
 
 
 def s13_change_summary(w: Warehouse) -> DataFrame:
@@ -115,15 +117,15 @@ def t3_one_customer_first(w: Warehouse) -> DataFrame:
 def t4_unbounded(w: Warehouse) -> DataFrame:
     """Deliberately wrong: every version of a customer meets every order."""
     joined = w.fct_orders.join(w.dim_customer_scd2.select("customer_id", "region"), "customer_id")
-    return joined.groupBy("region").agg(F.sum("net_revenue").alias("inflated_revenue"), n_rows.alias("row_count"))
+    return joined.groupBy("region").agg(F.sum("net_revenue").alias("inflated_revenue"), n_rows().alias("row_count"))
 
 
 def t5_inflation(w: Warehouse) -> DataFrame:
     changed = w.feed.select("customer_id").distinct()
     facts = w.fct_orders.join(changed, "customer_id", "left_semi")
-    right = history.as_of(facts, w.dim_customer_scd2).groupBy("customer_id").agg(n_rows.alias("correct_row_count"), F.sum("net_revenue").alias("correct_revenue"))
+    right = history.as_of(facts, w.dim_customer_scd2).groupBy("customer_id").agg(n_rows().alias("correct_row_count"), F.sum("net_revenue").alias("correct_revenue"))
     versions = _versions(w.dim_customer_scd2).withColumnRenamed("version_count", "scd2_versions")
-    wrong = facts.join(w.dim_customer_scd2.select("customer_id"), "customer_id").groupBy("customer_id").agg(n_rows.alias("inflated_row_count"), F.sum("net_revenue").alias("inflated_revenue"))
+    wrong = facts.join(w.dim_customer_scd2.select("customer_id"), "customer_id").groupBy("customer_id").agg(n_rows().alias("inflated_row_count"), F.sum("net_revenue").alias("inflated_revenue"))
     return right.join(wrong, "customer_id").join(versions, "customer_id").withColumn("inflation_factor", rounded(cents(F.col("inflated_revenue")), cents(F.col("correct_revenue")), 2))
 
 
@@ -141,7 +143,7 @@ def t7_journey(w: Warehouse) -> DataFrame:
 
 
 def t8_current_by_segment(w: Warehouse) -> DataFrame:
-    return history.current(w.dim_customer_scd2).groupBy("segment", "region").agg(n_rows.alias("customer_count"))
+    return history.current(w.dim_customer_scd2).groupBy("segment", "region").agg(n_rows().alias("customer_count"))
 
 
 def t9_health(w: Warehouse) -> DataFrame:
@@ -159,11 +161,11 @@ def t10_histories(w: Warehouse) -> DataFrame:
 
 
 def i2_distribution(w: Warehouse) -> DataFrame:
-    return w.promotions.groupBy("customer_id").agg(n_rows.alias("promo_count")).groupBy("promo_count").agg(n_rows.alias("customer_count"))
+    return w.promotions.groupBy("customer_id").agg(n_rows().alias("promo_count")).groupBy("promo_count").agg(n_rows().alias("customer_count"))
 
 
 def i2_coverage(w: Warehouse) -> DataFrame:
-    total, having = w.dim_customer.agg(n_rows.alias("total_customers")), w.promotions.agg(F.count_distinct("customer_id").alias("with_promo"))
+    total, having = w.dim_customer.agg(n_rows().alias("total_customers")), w.promotions.agg(F.count_distinct("customer_id").alias("with_promo"))
     return total.crossJoin(having).withColumn("without_promo", F.col("total_customers") - F.col("with_promo"))
 
 
@@ -180,17 +182,17 @@ def i4_row_counts(w: Warehouse) -> DataFrame:
 
 
 def i6_inflation(w: Warehouse) -> DataFrame:
-    right = w.fct_orders.agg(n_rows.alias("correct_row_count"), F.sum("net_revenue").alias("correct_revenue"))
-    wrong = _broken(w).agg(n_rows.alias("inflated_row_count"), F.sum("net_revenue").alias("inflated_revenue"))
+    right = w.fct_orders.agg(n_rows().alias("correct_row_count"), F.sum("net_revenue").alias("correct_revenue"))
+    wrong = _broken(w).agg(n_rows().alias("inflated_row_count"), F.sum("net_revenue").alias("inflated_revenue"))
     more = (F.col("inflated_revenue") - F.col("correct_revenue")).cast("decimal(38,2)")
     return right.crossJoin(wrong).withColumns({"phantom_rows": F.col("inflated_row_count") - F.col("correct_row_count"), "inflation_amount": more}).withColumn("inflation_pct", rounded(cents(F.col("inflation_amount")), cents(F.col("correct_revenue")), 2, 100))
 
 
 def i7_worst_customers(w: Warehouse) -> DataFrame:
     """Sums before joins: a customer's lines times its promotions are its inflated rows."""
-    right = w.fct_orders.groupBy("customer_id").agg(n_rows.alias("correct_rows"), F.sum("net_revenue").alias("correct_revenue"))
-    wrong = _broken(w).groupBy("customer_id").agg(n_rows.alias("inflated_rows"), F.sum("net_revenue").alias("inflated_revenue"))
-    promos = w.promotions.groupBy("customer_id").agg(n_rows.alias("promo_count")).filter("promo_count >= 2")
+    right = w.fct_orders.groupBy("customer_id").agg(n_rows().alias("correct_rows"), F.sum("net_revenue").alias("correct_revenue"))
+    wrong = _broken(w).groupBy("customer_id").agg(n_rows().alias("inflated_rows"), F.sum("net_revenue").alias("inflated_revenue"))
+    promos = w.promotions.groupBy("customer_id").agg(n_rows().alias("promo_count")).filter("promo_count >= 2")
     got = right.join(promos, "customer_id").join(wrong, "customer_id").withColumn("inflation_factor", rounded(cents(F.col("inflated_revenue")), cents(F.col("correct_revenue")), 2))
     return got.orderBy(F.desc_nulls_last("inflation_factor"), "customer_id").limit(10)
 
@@ -205,7 +207,7 @@ def f1_latest(w: Warehouse) -> DataFrame:
 
 def f1_attribution(w: Warehouse) -> DataFrame:
     joined = w.fct_orders.join(fanout.latest(w.promotions), "customer_id", "left")
-    return joined.groupBy("promo_code").agg(n_rows.alias("row_count"), F.sum("net_revenue").alias("total_revenue"))
+    return joined.groupBy("promo_code").agg(n_rows().alias("row_count"), F.sum("net_revenue").alias("total_revenue"))
 
 
 def f2_summarised(w: Warehouse) -> DataFrame:
@@ -219,7 +221,7 @@ def f3_running(w: Warehouse) -> DataFrame:
 
 
 def f3_attribution(w: Warehouse) -> DataFrame:
-    return fanout.attributed(w.fct_orders, w.promotions).groupBy("promo_code").agg(n_rows.alias("row_count"), F.sum("net_revenue").alias("total_revenue"))
+    return fanout.attributed(w.fct_orders, w.promotions).groupBy("promo_code").agg(n_rows().alias("row_count"), F.sum("net_revenue").alias("total_revenue"))
 
 
 def f4_baseline(w: Warehouse) -> DataFrame:
@@ -237,7 +239,7 @@ def f5_verification(w: Warehouse) -> DataFrame:
 def f6_row_guard(w: Warehouse) -> DataFrame:
     """Row counts before and after each join, and whether the guard would let it pass."""
     joins = {"broken": _broken(w), "latest": w.fct_orders.join(fanout.latest(w.promotions), "customer_id", "left"), "running": fanout.attributed(w.fct_orders, w.promotions)}
-    base = w.fct_orders.agg(n_rows.alias("base_rows"))
+    base = w.fct_orders.agg(n_rows().alias("base_rows"))
     return counts(joins, "join_name").crossJoin(base).select("join_name", "base_rows", F.col("row_count").alias("joined_rows"), (F.col("row_count") == F.col("base_rows")).alias("passed"))
 
 
