@@ -1,6 +1,6 @@
 """The nightly snapshot job as a stream: each night is a micro-batch, and a failed night leaves the checkpoint where it was.
 
-The reference workload polls a source every night. Here nights are files that arrive; ``availableNow`` takes what is new, one file a batch, and
+A nightly job polls its source. Here nights are files that arrive; ``availableNow`` takes what is new, one file a batch, and
 ``foreachBatch`` holds it against the last state captured. The job history stays data in a table of its own: it says which state can be
 trusted, while the stream's checkpoint says which files were read.
 """
