@@ -206,7 +206,7 @@ def _find(sent, similarity: float, names: list[str]):
 
 
 def find_leaks(
-    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, min_words: int = 5, walks: int = 2, samples: int = 7, items_each: int = 10_000, bytes_each: int = 16 << 20
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, min_words: int = 5, walks: int = 2, samples: int = 10, items_each: int = 10_000, bytes_each: int = 16 << 20
 ) -> DataFrame:
     """A row for each row of ``docs`` and item that it holds: the columns of ``docs`` but the text, item_id, item_words, distance, start_word.
 
