@@ -36,7 +36,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, with statistics for the optimizer and no lineage."""
+    """``df`` as a Parquet table in the shared folder, with statistics for the optimizer and no lineage.
+
+    Rows of a partitioned table are rebalanced first, so that a partition has few files and a large one is split.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    (df.hint("rebalance", *partition_by) if partition_by else df).write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
