@@ -21,9 +21,11 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,10 +131,14 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, most: int = 600_000, plain: bool = True):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.most, self.plain = Tokenizer.from_file(path), most, plain
+        if plain:  # for words of small letters up to U+00FF, which normalising would leave as they are
+            self.letters = Tokenizer.from_file(path)
+            self.letters.normalizer = None
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
         self.clear()
@@ -162,7 +168,7 @@ class WordEncoder:
         for w in new:
             core = w.rstrip(".,") if self.plain else ""
             if core.isalpha() and max(core) < "\u0100":  # beyond, lower case or composition may part a word
-                low = core.lower() if core.isascii() else core
+                low = core.lower()
                 letters.add(low)
                 if low != w:
                     built.append((w, low, w[len(core) :]))
@@ -173,28 +179,32 @@ class WordEncoder:
             got = [x.ids for x in self.tokenizer.encode_batch_fast(others[i : i + 4096], add_special_tokens=False)]
             self.keep(others[i : i + 4096], np.array([x for one in got for x in one], np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
         letters = sorted(x for x in letters if x not in self.known)
-        for i in range(0, len(letters), 32):
-            some = letters[i : i + 32]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+        for i in range(0, len(letters), 64):
+            some = letters[i : i + 64]
+            ids = np.array(self.letters.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             self.keep(some, ids, np.diff(ends, prepend=0))
         if built:
             parts = np.array([[self.known[core], self.known[tail]] for _, core, tail in built])
             self.keep([w for w, *_ in built], self.of(parts.ravel()), self.length[parts].sum(1))
 
-    def encode(self, text: str) -> np.ndarray:
-        for c in "\t\n\x0b\x0c\r":
-            text = text.replace(c, " ")
-        words = text.split(" ")
-        at = [*map(self.known.get, words)]
-        if None in at:
-            new = {w for w, i in zip(words, at, strict=True) if i is None}
-            if len(self.known) + len(new) > self.most and len(self.known) > 1:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts one after the other, how many each has)."""
+        words, first = [], []
+        for text in texts:
+            for c in "\t\n\x0b\x0c\r":
+                text = text.replace(c, " ")
+            first.append(len(words))
+            words += text.split(" ")
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = {words[i] for i in np.flatnonzero(at < 0).tolist()}
+        if new:
+            if len(self.known) + 2 * len(new) > self.most and len(self.known) > 1:
                 self.clear()
                 new = set(words) - {""}
             self.learn([*new])
-            at = [*map(self.known.__getitem__, words)]
-        return self.of(np.array(at))
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return self.of(at), np.add.reduceat(self.length[at], first)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -210,21 +220,28 @@ def encoder_of(path: str) -> WordEncoder:
 def _shards(tokenizer: str, end: int, ids_each: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, partition, chunk = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
-        doc_ids, ids, held = [], [], 0
+        doc_ids, lengths, ids, held = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            data = shard(partition, chunk, doc_ids, np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate(ids))
+            data = shard(partition, chunk, doc_ids, np.concatenate(lengths), np.concatenate(ids))
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["file"])
 
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                doc_ids.append(i)
-                ids.append(np.append(encoder.encode(text.as_py() or ""), np.uint32(end)))
+            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().cumsum()
+            at = 0
+            while at < b.num_rows:  # some texts at a time, of half a megabyte unless one is longer
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 19), "right")))
+                found, n = encoder.encode([x or "" for x in b.column(1).slice(at, to - at).to_pylist()])
+                ends = np.cumsum(n)
+                ids.append(np.insert(found, ends, np.uint32(end)))
+                lengths.append(n + 1)
+                doc_ids += b.column(0).slice(at, to - at).to_pylist()
                 held += len(ids[-1])
+                at = to
                 if held >= ids_each:
                     yield out()
                     chunk += 1
-                    doc_ids, ids, held = [], [], 0
+                    doc_ids, lengths, ids, held = [], [], [], 0
         if ids:
             yield out()
 
