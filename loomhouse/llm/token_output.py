@@ -130,7 +130,7 @@ class WordEncoder:
     encoded many at a time, and full stops and commas after letters apart from them.
     """
 
-    def __init__(self, path: str, most: int = 600_000, plain: bool = True):
+    def __init__(self, path: str, most: int = 500_000, plain: bool = True):
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -248,7 +248,7 @@ def _shards(tokenizer: str, end: int, ids_each: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text", ids_each: int = 8 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text", ids_each: int = 2 << 20) -> None:
     """Write the ids of every whole text (null: empty), each followed by ``end``, to shards of about ``ids_each`` ids under ``path``."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     ordered = rows.repartitionByRange(F.col("id")).sortWithinPartitions("id", F.xxhash64("text"))
