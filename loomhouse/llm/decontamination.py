@@ -158,8 +158,15 @@ def matches(index: Index, key: np.ndarray, first: np.ndarray, similarity: float)
     items, starts = index.candidates(key)
     if not len(items):
         return
-    inside = np.clip(starts, 0, len(key) - 1)
-    texts = np.searchsorted(first, inside, "right") - 1
+    # a start that an edit has shifted may lie in a neighbour: each candidate goes to all texts that its run could lie in
+    length = np.array([len(x) for x in index.words])
+    allowed = np.array([int((1 - similarity) * n + 1e-9) for n in length])
+    low, high = starts - 2 * allowed[items] - 4, starts + length[items] + 4 * allowed[items] + 8
+    one = np.maximum(np.searchsorted(first, np.maximum(low, 0), "right") - 1, 0)
+    each = np.maximum(np.searchsorted(first, np.minimum(high, len(key)), "left") - one, 0)
+    texts, at = np.repeat(one, each) + W.ragged(each), np.repeat(np.arange(len(items)), each)
+    whole = np.minimum(high[at], first[texts + 1]) - np.maximum(low[at], first[texts]) >= (length - allowed)[items[at]]
+    texts, items, starts = texts[whole], items[at[whole]], starts[at[whole]]
     by = np.lexsort((starts, items, texts))
     best: dict[tuple[int, int], tuple[int, int]] = {}
     tried: dict[tuple[int, int], int] = {}

@@ -235,6 +235,19 @@ def test_recall_and_clean_documents(spark):
     assert blocks == got
 
 
+def test_items_without_their_first_words_at_the_start_of_a_document(spark):
+    """The implied start lies in the text before; the leak is in the text after it."""
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()]
+    index = decontamination.Index([*range(len(items))], items, decontamination.Samples(2, 10), 5)
+    before, found = np.arange(1, 201, dtype=np.uint64), 0
+    for i, item in enumerate(index.words):
+        key = np.concatenate((before, item[3:], before))
+        got = {(t, j): d for t, j, d, _ in decontamination.matches(index, key, np.array([0, 200, 200 + len(item) - 3, len(key)]), 0.8)}
+        assert got.keys() <= {(1, i)} and got.get((1, i), 3) == 3
+        found += len(got)
+    assert found >= 0.85 * len(items)
+
+
 def test_every_reported_leak_is_one_and_odd_texts(spark, odd, empty):
     items = spark.createDataFrame([(1, PASSAGE), (2, None), (3, "the"), (4, ""), (5, PASSAGE), (None, "The the of zebra x x")], "item_id long, text string")
     got = decontamination.find_leaks(odd, items).collect()
