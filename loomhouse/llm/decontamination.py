@@ -6,9 +6,11 @@ parted meet again soon, so a small edit distance becomes a small Hamming distanc
 all window sizes up to where it leaves the window; so the walks from all starts are run once, in step, and each sample of a few steps
 serves all items whose windows the walk hardly leaves within these steps (an item of n words: steps up to 1.5 n).
 
+Walks find most items, not all. The rest is found exactly: an item of n words and k edits, cut into k + 1 seeds, keeps one seed whole, so
+all runs of words that equal a seed are candidates too. Within the similarity asked for the recall is 1, whatever the walks find.
+
 Several walks and samples are repeated (``walks`` times ``samples`` for each of the two longest ``RANGES`` that fit); an item and a window that agree in all steps of
-one sample are a candidate, and the edit distance is then computed exactly, the item against the best run of words near there. Tests
-measure the recall at the similarity asked for.
+one sample are a candidate, and the edit distance is then computed exactly, the item against the best run of words near there.
 """
 
 from __future__ import annotations
@@ -87,10 +89,28 @@ def _filled(key: np.ndarray, more: int) -> np.ndarray:
     return np.concatenate((key, np.zeros(more, np.uint64)))
 
 
+def edits(words: int, similarity: float) -> int:
+    """The largest edit distance of an item of so many words."""
+    return int((1 - similarity) * words + 1e-9)
+
+
+def runs(key: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, key of the run of so many words from each start), by doubling."""
+    power, wide = 1, {1: key}
+    while 2 * power <= max(lengths, default=1):
+        x = wide[power]
+        wide[2 * power] = W.mix(x[: max(0, len(x) - power)] * W.BASE + x[power:])
+        power *= 2
+    for n in lengths:
+        most = 1 << (n.bit_length() - 1)
+        x, size = wide[most], max(0, len(key) - n + 1)
+        yield n, W.mix(x[:size] * W.BASE + x[n - most :][:size])
+
+
 class Index:
-    """Items, cut into pieces of up to 64 words, by the key of each sample."""
+    """Items, cut into pieces of up to 64 words, by the key of each sample; and their seeds by length."""
 
-    def __init__(self, ids: list, texts: list[str], samples: Samples, min_words: int):
+    def __init__(self, ids: list, texts: list[str], samples: Samples, min_words: int, similarity: float = 0.8):
         self.samples, self.ids, self.words, pieces = samples, [], [], []
         for i, text in zip(ids, texts, strict=True):
             data = np.frombuffer((text or "").encode(), np.uint8)
@@ -114,21 +134,43 @@ class Index:
             first = np.zeros(_FILTER, bool)
             first[(keys >> np.uint64(48)).astype(np.int64)] = True
             self.tables[k] = first, keys, np.array([x[1:] for x in rows], np.int64)
+        seeds: dict[int, list[tuple[int, int, int]]] = {}
+        for item, key in enumerate(self.words):
+            parts = min(len(key), edits(len(key), similarity) + 1)
+            cut = np.linspace(0, len(key), parts + 1).astype(int)
+            for a, n in zip(cut[:-1].tolist(), np.diff(cut).tolist(), strict=True):
+                _, x = next(runs(key[a : a + n], [n]))
+                seeds.setdefault(n, []).append((int(x[0]), item, a))
+        self.seeds = {}
+        for n, rows in sorted(seeds.items()):
+            rows.sort()
+            keys = np.array([x[0] for x in rows], np.uint64)
+            first = np.zeros(_FILTER, bool)
+            first[(keys >> np.uint64(48)).astype(np.int64)] = True
+            self.seeds[n] = first, keys, np.array([x[1:] for x in rows], np.int64)
 
     def candidates(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(items, starts in ``key``), each pair once."""
         reach = self.samples.longest
         whole, items, starts = _filled(key, reach), [], []
+
+        def look(x: np.ndarray, a: int, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+            first, keys, rows = table
+            at = np.flatnonzero(first.take((x >> np.uint64(48)).astype(np.intp)))
+            lo, hi = np.searchsorted(keys, x[at]), np.searchsorted(keys, x[at], "right")
+            which = np.repeat(lo, hi - lo) + W.ragged(hi - lo)
+            items.append(rows[which, 0])
+            starts.append(np.repeat(at, hi - lo) + a - rows[which, 1])
+
+        widest = max(self.seeds, default=1)
+        for a in range(0, len(key), HERE):
+            for n, x in runs(key[a : a + HERE + widest - 1], [*self.seeds]):
+                look(x[:HERE], a, self.seeds[n])
         for a in range(0, len(key), HERE):
             n = min(HERE, len(key) - a)
             for walk in range(len(self.samples.salt)):
                 for r, s, x in self.samples.run(whole[a : a + n + reach], n, walk, self.ranges):
-                    first, keys, rows = self.tables[walk, r, s]
-                    at = np.flatnonzero(first.take((x >> np.uint64(48)).astype(np.intp)))
-                    lo, hi = np.searchsorted(keys, x[at]), np.searchsorted(keys, x[at], "right")
-                    which = np.repeat(lo, hi - lo) + W.ragged(hi - lo)
-                    items.append(rows[which, 0])
-                    starts.append(np.repeat(at, hi - lo) + a - rows[which, 1])
+                    look(x, a, self.tables[walk, r, s])
         if not items:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         pair = np.unique(np.stack((np.concatenate(items), np.concatenate(starts)), 1), axis=0)
@@ -160,7 +202,7 @@ def matches(index: Index, key: np.ndarray, first: np.ndarray, similarity: float)
         return
     # a start that an edit has shifted may lie in a neighbour: each candidate goes to all texts that its run could lie in
     length = np.array([len(x) for x in index.words])
-    allowed = np.array([int((1 - similarity) * n + 1e-9) for n in length])
+    allowed = np.array([edits(n, similarity) for n in length])
     low, high = starts - 2 * allowed[items] - 4, starts + length[items] + 4 * allowed[items] + 8
     one = np.maximum(np.searchsorted(first, np.maximum(low, 0), "right") - 1, 0)
     each = np.maximum(np.searchsorted(first, np.minimum(high, len(key)), "left") - one, 0)
@@ -172,7 +214,7 @@ def matches(index: Index, key: np.ndarray, first: np.ndarray, similarity: float)
     tried: dict[tuple[int, int], int] = {}
     for text, item, start in zip(texts[by].tolist(), items[by].tolist(), starts[by].tolist(), strict=True):
         word = index.words[item]
-        most = int((1 - similarity) * len(word) + 1e-9)
+        most = edits(len(word), similarity)
         low, high = first[text], first[text + 1]
         if start < tried.get((text, item), -1):
             continue
@@ -235,7 +277,7 @@ def find_leaks(
     seed, out = Samples(walks, samples), None
     for k in range(blocks):
         block = source.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").collect()
-        index = Index([r["id"] for r in block], [r["text"] for r in block], seed, min_words)
+        index = Index([r["id"] for r in block], [r["text"] for r in block], seed, min_words, similarity)
         part = map_arrow(read, _find(spark.sparkContext.broadcast(index), similarity, names), schema)
         out = part if out is None else out.unionAll(part)
     return out.select(*(F.col(x).alias(c) for x, c in zip(names, kept, strict=True)), *new)
