@@ -10,8 +10,8 @@ counts, p(w) = (c(w) + 1) / (N + V + 1) and p(w | h) = (c(h w) + mu p(w | h')) /
 Least counts keep the sum of probabilities at 1 or below, but for the filter's false positives (about 1 in 100 probes).
 
 What is broadcast is bounded. The n-gram pieces go out in passes of ``max_filter_bytes`` each, and every n-gram position is scored
-in the pass that holds its cell; the word pieces are held to the same bound (beyond it they get narrower, so that false positives
-rise); the table of the most frequent words has ``head_words`` rows at most. Other words are looked up by a shuffled join.
+in the pass that holds its cell. Word pieces beyond one pass go out in passes over the distinct words of the texts; the levels they
+give join the texts once, so that scores are the same. The table of the most frequent words has ``head_words`` rows at most. Other words are looked up by a shuffled join.
 """
 
 from __future__ import annotations
@@ -196,6 +196,64 @@ def least(levels: np.ndarray, base: float) -> np.ndarray:
     return np.where(levels > 0, np.ceil(base ** (levels - 1.0) - 1e-9), 0.0)
 
 
+def _looked_up(keys: np.ndarray, of: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each key by the sorted keys ``of``; 0 where there is none."""
+    if not len(of):
+        return np.zeros(len(keys), np.int64)
+    at = np.searchsorted(of, keys)
+    at[at == len(of)] = 0
+    return np.where(of[at] == keys, values[at], 0)
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the texts and the marks before and after one, each once a slice."""
+    for b in batches:
+        for _, _, w in W.slices(b.column("text"), lower=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.append(w.key, (BEGIN, END))).view(np.int64))], names=["key"])
+
+
+def _levels(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            level = sent.value.levels(b.column("key").to_numpy().view(np.uint64))
+            at = np.flatnonzero(level)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at)), pa.array(level[at], pa.int32())], names=["key", "level"])
+
+    return run
+
+
+def _outside(resident):
+    """The words of each text that the resident table lacks, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head_keys = resident.value
+        for b in batches:
+            for lo, hi, w in W.slices(b.column("text"), lower=True):
+                token, _, owner = sequence(w)
+                key, whose = np.append(token, np.full(hi - lo, BEGIN)), np.append(owner, np.arange(hi - lo))
+                rest = _looked_up(key, head_keys, np.ones(len(head_keys), np.int64)) == 0
+                key, whose = key[rest], whose[rest]
+                by = np.lexsort((key, whose))
+                key, whose = key[by], whose[by]
+                new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (whose[1:] != whose[:-1])))) if len(key) else by
+                yield pa.RecordBatch.from_arrays([b.column("hash").slice(lo, hi - lo).take(pa.array(whose[new])), pa.array(key[new].view(np.int64))], names=["hash", "key"])
+
+    return run
+
+
+def _passes(sizes: list[tuple[int, float]], most: int) -> list[list[int]]:
+    """Cells, dealt in order to passes of at most ``most`` bytes each, or of one cell."""
+    passes: list[list[int]] = [[]]
+    held = 0.0
+    for cell, size in sorted(sizes):
+        if held + size > most and passes[-1]:
+            passes.append([])
+            held = 0.0
+        passes[-1].append(cell)
+        held += size
+    return passes
+
+
 def _score(order: int, base: float, mu: float, total: int, vocabulary: int, resident, sent, names: list[str] | None):
     """One pass: log10 p over the positions whose longest n-gram is in this pass.
 
@@ -203,7 +261,7 @@ def _score(order: int, base: float, mu: float, total: int, vocabulary: int, resi
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unigrams, head_keys, head_counts = resident.value
+        unigrams, head_keys, head_counts, head_levels = resident.value
         ngrams, cells_here = sent.value
         row = TaskContext.get().partitionId() << 33
         for b in batches:
@@ -211,7 +269,13 @@ def _score(order: int, base: float, mu: float, total: int, vocabulary: int, resi
                 token, before, owner = sequence(w)
                 n = hi - lo
                 distinct, at = np.unique(np.append(token, BEGIN), return_inverse=True)
-                count = least(unigrams.levels(distinct), base)
+                if unigrams is not None:
+                    level = unigrams.levels(distinct)
+                else:
+                    mine, level_of = (b.column(x).slice(lo, n).flatten().to_numpy() for x in ("word_keys", "word_levels"))
+                    mine, first = np.unique(mine.view(np.uint64), return_index=True)
+                    level = _looked_up(distinct, head_keys, head_levels) + _looked_up(distinct, mine, level_of[first])
+                count = least(level, base)
                 at = at[:-1]
                 p = (count[at] + 1) / (total + vocabulary + 1)
                 here = np.ones(len(token), bool)
@@ -286,8 +350,6 @@ def score_texts(
     )
     sizes = cells.select("cell", "n_words", "n_tokens", "word_members", F.length("gram_bits").alias("bytes")).collect()  # a row for each of CELLS cells
     total, vocabulary = sum(r["n_tokens"] for r in sizes), sum(r["n_words"] for r in sizes)
-    members = sum(r["word_members"] for r in sizes)
-    word_bits = min(bits_each, max_filter_bytes * 8 / max(1, members))
 
     counts = map_arrow(cells.select("word_keys", "word_counts"), _unpack, "key long, count long")
     bar = _threshold(counts, head_words)
@@ -298,22 +360,18 @@ def score_texts(
     def word_piece(batches):
         for b in batches:
             for cell, keys, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                bits = piece(np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64), base, word_bits)
+                bits = piece(np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64), base, bits_each)
                 yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["cell", "bits"])
 
     def gathered(df: DataFrame) -> dict[int, np.ndarray]:
         got = df.toArrow()
         return {c: np.frombuffer(x, np.uint64) for c, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True) if x}
 
-    unigrams = Filter(gathered(map_arrow(cells.filter("n_tokens > 0 or word_members > 0").select("cell", "word_keys", "word_counts"), word_piece, "cell int, bits binary")), fold=False)
-    passes: list[list[int]] = [[]]
-    held = 0
-    for r in sorted(sizes):
-        if held + r["bytes"] > max_filter_bytes and passes[-1]:
-            passes.append([])
-            held = 0
-        passes[-1].append(r["cell"])
-        held += r["bytes"]
+    def unigrams(here: list[int]) -> Filter:
+        return Filter(gathered(map_arrow(cells.filter(F.col("cell").isin(here)).select("cell", "word_keys", "word_counts"), word_piece, "cell int, bits binary")) if here else {}, fold=False)
+
+    word_passes = _passes([(r["cell"], r["word_members"] * bits_each / 8) for r in sizes if r["word_members"]], max_filter_bytes)
+    passes = _passes([(r["cell"], r["bytes"]) for r in sizes], max_filter_bytes)
     if order > 2 and len(passes) > 1:
         raise ValueError("n-grams of more than two words need one pass: raise max_filter_bytes")
 
@@ -321,7 +379,29 @@ def score_texts(
     names = [*(f"c{k}" for k in range(len(kept))), "hash"]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     texts = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    resident = spark.sparkContext.broadcast((unigrams, head_keys, head_counts))
+    carried = [F.col(f"`{c}`").alias(x) for c, x in zip(kept, names, strict=False)]
+    source, words = docs.select(*carried, F.xxhash64(texts).alias("hash"), texts.alias("text")), []
+    if len(word_passes) == 1:
+        resident = spark.sparkContext.broadcast((unigrams(word_passes[0]), head_keys, head_counts, None))
+    else:
+        asked, levels, head_levels = written(map_arrow(source.select("text"), _distinct, "key long").distinct(), "lm-vocabulary"), [], np.zeros(len(head_keys), np.int64)
+        for here in word_passes:
+            part = unigrams(here)
+            head_levels = np.maximum(head_levels, part.levels(head_keys))
+            sent = spark.sparkContext.broadcast(part)
+            levels.append(written(map_arrow(asked, _levels(sent), "key long, level int"), "lm-levels"))
+            sent.unpersist()
+        level = levels[0]
+        for x in levels[1:]:
+            level = level.unionAll(x)
+        keys_sent = spark.sparkContext.broadcast(head_keys)
+        outside = map_arrow(source.select("hash", "text"), _outside(keys_sent), "hash long, key long")
+        known = outside.join(level, "key").groupBy("hash").agg(F.collect_set(F.struct("key", "level")).alias("known"))
+        words = ["word_keys", "word_levels"]
+        known = known.select("hash", F.col("known.key").alias("word_keys"), F.col("known.level").alias("word_levels"))
+        source = written(source.join(known, "hash", "left").select(*names, "text", *words), "lm-texts")
+        keys_sent.unpersist()
+        resident = spark.sparkContext.broadcast((None, head_keys, head_counts, head_levels))
     scored: list[DataFrame] = []
     for i, here in enumerate(passes):
         ngrams = Filter(gathered(cells.filter(F.col("cell").isin(here)).select("cell", "gram_bits")) if here else {}, fold=True)
@@ -335,11 +415,10 @@ def score_texts(
         del ngrams
         run = _score(order, base, mu, total, vocabulary, resident, sent, None if i else names)
         if i:
-            df = map_arrow(docs.select(F.xxhash64(texts).alias("hash"), texts.alias("text")), run, "hash long, part double")
+            df = map_arrow(source.select("hash", "text", *words), run, "hash long, part double")
         else:
-            carried = [F.col(f"`{c}`").alias(x) for c, x in zip(kept, names, strict=False)]
             df = map_arrow(
-                docs.select(*carried, F.xxhash64(texts).alias("hash"), texts.alias("text")),
+                source,
                 run,
                 ", ".join([*(f"{x} {types[c]}" for c, x in zip(kept, names, strict=False)), "hash long, row long, n_tokens long, head_known long, head_sum double, rest array<long>, part double"]),
             )

@@ -100,6 +100,14 @@ def test_passes_give_the_same_scores(spark):
     assert all(abs(one[i] - more[i]) < 0.03 * abs(one[i]) + 0.5 for i in one)
 
 
+@pytest.mark.parametrize("options", [{"max_filter_bytes": 16_000}, {"max_filter_bytes": 16_000, "head_words": 2}])
+def test_scores_do_not_depend_on_the_bound(spark, odd, options):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.filter("doc_id < 6 or doc_id is null").select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
+    one, more = (sorted((repr(r["doc_id"]), r["score"]) for r in lm_scoring.score_texts(docs, F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True)), **o).collect()) for o in ({}, options))
+    assert [i for i, _ in one] == [i for i, _ in more]
+    assert [s for _, s in more] == pytest.approx([s for _, s in one], rel=1e-9)
+
+
 def test_model_beats_the_base_on_held_out_texts_and_is_a_distribution(spark):
     got = entry.queries()["op1_lm_scoring"](spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
