@@ -1,6 +1,6 @@
 """Benchmark items inside documents, found by a random-walk embedding and bit sampling.
 
-Texts become words: Unicode lower case, parted by all ASCII but letters and digits. The CGK embedding walks over a window word by
+Texts become words: Unicode lower case, parted by all ASCII but letters and digits; in scripts without spaces each character is a word. The CGK embedding walks over a window word by
 word; at each step it emits the word it stands on and moves on or stays by a random bit of (step, word). Two walks that an edit has
 parted meet again soon, so a small edit distance becomes a small Hamming distance. A walk from a start in a document is the same for
 all window sizes up to where it leaves the window; so the walks from all starts are run once, in step, and each sample of a few steps
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,22 @@ HERE = 1 << 14
 _FILTER = 1 << 16
 
 
+#: Scripts written without spaces: each of their characters is a word.
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+
+
 def words_of(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit("")))
 
 
+def parted(texts: pa.Array) -> pa.Array:
+    """``texts`` with spaces around each character of the scripts without spaces."""
+    whole = texts.cast(pa.large_string())
+    many = np.frombuffer(whole.buffers()[2] or b"", np.uint8)
+    # their characters take three bytes or four in UTF-8
+    return pc.replace_substring_regex(whole, UNSPACED, r" \1 ") if len(many) and many.max() >= 0xE0 else whole
+
+
 class Samples:
     """Steps of every sample, and the walks' bits of words, all from one seed."""
 
@@ -111,14 +124,15 @@ class Index:
     """Items, cut into pieces of up to 64 words, by the key of each sample; and their seeds by length."""
 
     def __init__(self, ids: list, texts: list[str], samples: Samples, min_words: int, similarity: float = 0.8):
-        self.samples, self.ids, self.words, pieces = samples, [], [], []
-        for i, text in zip(ids, texts, strict=True):
+        self.samples, self.ids, self.words, self.min_words, pieces = samples, [], [], min_words, []
+        for i, text in zip(ids, parted(pa.array(texts, pa.string())).to_pylist(), strict=True):
             data = np.frombuffer((text or "").encode(), np.uint8)
             key = W.split(data, np.array([0, len(data)]), between=W.NOT_ALNUM).key
             if len(key) >= min_words:
                 parts = -(-len(key) // PIECE)
                 cut = np.linspace(0, len(key), parts + 1).astype(int)
                 pieces += [(len(self.words), a, key[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            if len(key):
                 self.ids.append(i)
                 self.words.append(key)
         found: dict[tuple[int, int, int], list[tuple[int, int, int]]] = {}
@@ -136,7 +150,7 @@ class Index:
             self.tables[k] = first, keys, np.array([x[1:] for x in rows], np.int64)
         seeds: dict[int, list[tuple[int, int, int]]] = {}
         for item, key in enumerate(self.words):
-            parts = min(len(key), edits(len(key), similarity) + 1)
+            parts = min(len(key), self.allowed(len(key), similarity) + 1)
             cut = np.linspace(0, len(key), parts + 1).astype(int)
             for a, n in zip(cut[:-1].tolist(), np.diff(cut).tolist(), strict=True):
                 _, x = next(runs(key[a : a + n], [n]))
@@ -149,6 +163,10 @@ class Index:
             first[(keys >> np.uint64(48)).astype(np.int64)] = True
             self.seeds[n] = first, keys, np.array([x[1:] for x in rows], np.int64)
 
+    def allowed(self, words: int, similarity: float) -> int:
+        """The largest edit distance of an item of so many words; short items hold only where they are equal."""
+        return edits(words, similarity) if words >= self.min_words else 0
+
     def candidates(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(items, starts in ``key``), each pair once."""
         reach = self.samples.longest
@@ -202,7 +220,7 @@ def matches(index: Index, key: np.ndarray, first: np.ndarray, similarity: float)
         return
     # a start that an edit has shifted may lie in a neighbour: each candidate goes to all texts that its run could lie in
     length = np.array([len(x) for x in index.words])
-    allowed = np.array([edits(n, similarity) for n in length])
+    allowed = np.array([index.allowed(n, similarity) for n in length])
     low, high = starts - 2 * allowed[items] - 4, starts + length[items] + 4 * allowed[items] + 8
     one = np.maximum(np.searchsorted(first, np.maximum(low, 0), "right") - 1, 0)
     each = np.maximum(np.searchsorted(first, np.minimum(high, len(key)), "left") - one, 0)
@@ -214,7 +232,7 @@ def matches(index: Index, key: np.ndarray, first: np.ndarray, similarity: float)
     tried: dict[tuple[int, int], int] = {}
     for text, item, start in zip(texts[by].tolist(), items[by].tolist(), starts[by].tolist(), strict=True):
         word = index.words[item]
-        most = edits(len(word), similarity)
+        most = index.allowed(len(word), similarity)
         low, high = first[text], first[text + 1]
         if start < tried.get((text, item), -1):
             continue
@@ -237,7 +255,7 @@ def _find(sent, similarity: float, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for b in batches:
-            for lo, hi, w in W.slices(b.column("text"), between=W.NOT_ALNUM):
+            for lo, hi, w in W.slices(parted(b.column("text")), between=W.NOT_ALNUM):
                 rows = [*matches(index, w.key, w.first, similarity)]
                 if rows:
                     at = pa.array([lo + x[0] for x in rows])
@@ -260,7 +278,8 @@ def find_leaks(
     """A row for each row of ``docs`` and item that it holds: the columns of ``docs`` but the text, item_id, item_words, distance, start_word.
 
     A document holds an item of n words if some run of its words has an edit distance of floor((1 - similarity) n) at most, in words; start_word
-    is where the best run begins, the first of several. Items of fewer words than ``min_words``, null and empty ones hold nowhere. Repeated documents and
+    is where the best run begins, the first of several. Items of fewer words than ``min_words`` hold where a run equals them; null and empty
+    ones hold nowhere. Repeated documents and
     repeated items each give their rows. Items are taken in blocks of bounded size, each broadcast and held against all documents. Columns of ``docs`` with the names of new
     ones are dropped.
     """

@@ -284,6 +284,14 @@ def test_every_reported_leak_is_one_and_odd_texts(spark, odd, empty):
     assert decontamination.find_leaks(empty, items).count() == 0 and decontamination.find_leaks(odd, items.limit(0)).count() == 0
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "quite short"), (2, "今天的天气非常好我们一起去公园散步吧"), (3, "วันนี้อากาศดีมากเราไปเดินเล่นกัน"), (4, "alone"), (5, "...")]
+    rows = [(1, "It is Quite, short."), (2, "quite very short"), (3, "他说今天的天气非常好我们去公园散步吧然后走了"), (4, "เขาพูดว่าวันนี้อากาศดีมากเราไปเดินเล่นกันแล้ว"), (5, "今天下雨"), (6, "alone"), (7, "")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in decontamination.find_leaks(docs, bench).collect())
+    assert got == [(1, 1, 0), (3, 2, 2), (4, 3, 0), (6, 4, 0)]
+
+
 # 7
 
 
