@@ -40,8 +40,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return without(docs, near_groups(docs.select("doc_id", "text")).filter("not kept"))
+    """Of each group of near-duplicates the document with the smallest id stays, of rows equal in id and text one."""
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    dropped = written(near_groups(numbered.select("doc_id", "text", "__row")).filter("not kept").select("__row"), "dropped")
+    return numbered.join(broadcast_below(dropped, MOST_BROADCAST), "__row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,19 +167,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without the text, with fingerprint, component_id, kept and text_hash (XXH64 of the text, null as empty).
 
     component_id is the smallest id that links reach, the row's own included; null ids count only where a component has no other. kept marks
-    the row with that id (of several, that with the smallest text hash; rows equal in both are one document). Texts: A-Z in lower case; null and empty
+    the row with that id (of several, that with the smallest text hash, and of rows equal in both one). Texts: A-Z in lower case; null and empty
     texts, and texts of white space, have fingerprint 0 and link like others. Columns named as new ones are replaced.
     """
     prepare(docs.sparkSession)
     new = ("fingerprint", "component_id", "kept", "text_hash")
     kept = [c for c in docs.columns if c not in (text_col, *new)]
-    names = [*(f"c{i}" for i in range(len(kept))), "hash"]
+    names = [*(f"c{i}" for i in range(len(kept))), "hash", "row"]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    read = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(kept, names, strict=False)), F.xxhash64(text).alias("hash"), text.alias("text"))
-    rows = written(map_arrow(read, _fingerprint(shingle, names), ", ".join([*(f"{x} {types[c]}" for c, x in zip(kept, names, strict=False)), "hash long, print long"])), "prints")
+    read = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(kept, names, strict=False)), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    rows = written(map_arrow(read, _fingerprint(shingle, names), ", ".join([*(f"{x} {types[c]}" for c, x in zip(kept, names, strict=False)), "hash long, row long, print long"])), "prints")
     ident = F.col(names[kept.index(id_col)])
-    prints = written(rows.groupBy("print").agg(F.min(F.struct(ident.isNull().alias("none"), ident.alias("id"), F.col("hash").alias("hash"))).alias("first")), "distinct-prints")
+    prints = written(rows.groupBy("print").agg(F.min(F.struct(ident.isNull().alias("none"), ident.alias("id"), F.col("hash").alias("hash"), F.col("row").alias("row"))).alias("first")), "distinct-prints")
     roots = components(linked(prints.select("print")))
     rooted = prints.join(roots, prints["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
@@ -188,6 +188,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         *(F.col(x).alias(c) for c, x in zip(kept, names, strict=False)),
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
         F.col("least.id").alias("component_id"),
-        (ident.eqNullSafe(F.col("least.id")) & (F.col("hash") == F.col("least.hash"))).alias("kept"),
+        (F.col("row") == F.col("least.row")).alias("kept"),
         F.col("hash").alias("text_hash"),
     )

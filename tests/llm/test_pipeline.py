@@ -47,3 +47,9 @@ def test_odd_rows_pass_through(spark):
         for name, stage in pipeline.STAGES:
             now = pipeline.written(stage(spark, now, SF), name)
         assert set(now.columns) == {"doc_id", "start", "n_tokens", "ids_crc32"}
+
+
+def test_one_row_of_a_group_stays(spark):
+    rows = [(2, "the the of and", "en", "s", 3)] * 3 + [(None, "another text of the kind", "en", None, 0)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((tuple(r) for r in pipeline.simhash_near_dedup(spark, docs, SF).collect()), key=repr) == sorted({*rows}, key=repr)
