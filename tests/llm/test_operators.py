@@ -441,12 +441,15 @@ def test_blocks_round_trip():
 
 def test_words_encode_like_whole_texts():
     import public_tokenizers
+    import pyarrow as pa
 
-    whole, encoder, rng = tokenizer(), token_output.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), most=300), random.Random(2)
+    whole, encoder, rng = tokenizer(), token_output.Encoder(public_tokenizers.path("word_bpe_49k.json"), most=300), random.Random(2)
     signs = [*"aAbZéÉñßİıΣςσʰªº'’.,;:!-_<|>0१٣\u0301\u00a0\u2003\x1c\x85🙂日ﬁ한 \n"] + ["'s", "<|endoftext|>", "<|ENDOFTEXT|>", "..", ",."]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
     for i in range(0, len(texts), 50):
-        ids, n = encoder.encode(texts[i : i + 50])
+        encoder.unchecked = 0
+        ((_, _, data, bounds),) = words.texts(pa.array(texts[i : i + 50]))
+        ids, n = encoder.encode(data, bounds)
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in whole.encode_batch(texts[i : i + 50], add_special_tokens=False)]
 
 
@@ -462,3 +465,30 @@ def test_tokens(odd, empty):
         want.append((r["doc_id"], r["ids"]))
     assert sorted(map(repr, want)) == sorted(repr((i, [*whole.encode(t or "", add_special_tokens=False).ids, 1])) for i, t in rows)
     assert token_output.tokens_of(empty).count() == 0
+
+
+def test_a_tokenizer_that_joins_words_over_spaces(odd):
+    """Its ids are those of whole texts; ones that only look as if words could be taken apart are refused by the check on the first texts."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, encoder = Tokenizer.from_file(path), token_output.Encoder(path)
+    assert encoder.pattern is None
+    got = token_output.tokens_of(odd, path, ids_each=1000).collect()
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for (t,) in odd.select("text").collect()]
+    assert sorted(r["ids"] for r in got) == sorted(want)
+    other = token_output.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    other.pattern = token_output.regex.compile(r"\S")
+    ((_, _, data, bounds),) = words.texts(pa.array(["it's one 12, two"]))
+    with pytest.raises(ValueError):
+        other.encode(data, bounds)
+
+
+def test_word_table():
+    table, rng = token_output.Table(100), np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64) & ~np.uint64(0xF0))
+    table.add(keys[:60], np.arange(60, dtype=np.int32))
+    table.add(keys[60:], np.arange(60, len(keys), dtype=np.int32))
+    assert (table.find(keys) == np.arange(len(keys))).all() and (table.find(keys ^ np.uint64(1 << 63)) == -1).all()
