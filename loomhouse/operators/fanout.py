@@ -33,12 +33,15 @@ def summarised(promos: DataFrame) -> DataFrame:
     return promos.groupBy("customer_id").agg(F.count(F.lit(1)).alias("promo_count"), F.max("discount_pct").alias("max_discount"))
 
 
-def attributed(fact: DataFrame, promos: DataFrame, line: str = "line_id") -> DataFrame:
-    """Each line with the promotion that was running at its date, the last to start, or none. One row a line."""
-    running = (F.col("customer_id") == F.col("promo_of")) & (F.col("order_date") >= F.col("promo_start")) & (F.col("order_date") < F.col("promo_end"))
-    joined = fact.join(promos.withColumnRenamed("customer_id", "promo_of"), running, "left")
-    order = Window.partitionBy(line).orderBy(F.col("promo_start").desc_nulls_last(), F.col("promo_code").desc_nulls_last())
-    return joined.withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn", "promo_of")
+def attributed(fact: DataFrame, promos: DataFrame) -> DataFrame:
+    """Each line with the promotion that was running at its date, the last to start, or none. One row a line.
+
+    A customer's promotions, a few, meet its lines as one array, so that lines are joined once and never ranked.
+    """
+    of = promos.groupBy(F.col("customer_id").alias("promo_of")).agg(F.collect_list(F.struct("promo_start", *(c for c in promos.columns if c not in ("customer_id", "promo_start")))).alias("promos"))
+    running = F.filter("promos", lambda p: (F.col("order_date") >= p["promo_start"]) & (F.col("order_date") < p["promo_end"]))
+    joined = fact.join(of, F.col("customer_id") == F.col("promo_of"), "left").withColumn("promo", F.array_max(running))
+    return joined.select(*fact.columns, *(F.col(f"promo.{c}").alias(c) for c in promos.columns if c != "customer_id"))
 
 
 def assert_no_inflation(base: DataFrame, joined: DataFrame, label: str) -> None:

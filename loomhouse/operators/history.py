@@ -37,13 +37,25 @@ def unmatched(history: DataFrame, feed: DataFrame) -> DataFrame:
     return feed.join(history, "customer_id", "left_anti")
 
 
-def apply_feed(history: DataFrame, feed: DataFrame) -> DataFrame:
+def current_state(history: DataFrame, customer: int) -> dict[str, object]:
+    """The open version of one customer; an error if there is none."""
+    got = current(history).filter(F.col("customer_id") == F.lit(customer)).select("customer_id", *TRACKED, "customer_key").first()
+    if got is None:
+        raise ValueError(f"customer {customer} has no current version")
+    return got.asDict()
+
+
+def apply_feed(history: DataFrame, feed: DataFrame, skip_unmatched: bool = False) -> DataFrame:
     """The history after all records of a feed, taken in order of ``seq``, as if one after the other.
 
+    Records of customers without a current version are an error, unless ``skip_unmatched`` leaves them out.
+
     A record's blank attributes carry on from the state before it. A record that changes nothing leaves no version. A change closes the version before on
     the day before and opens the next; new versions get the keys after the largest one, in feed order. Customers without records keep their versions, whatever
     their number; the feed builds on open ones.
     """
+    if not skip_unmatched and (lost := unmatched(current(history), feed).limit(5).collect()):
+        raise ValueError(f"feed records of customers without a current version, such as {sorted(r['customer_id'] for r in lost)}")
     touched = feed.select("customer_id").distinct()
     base = current(history).join(touched, "customer_id", "left_semi").select("customer_id", F.lit(0).cast("long").alias("seq"), "customer_key", *TRACKED, "valid_from")
     records = feed.join(current(history), "customer_id", "left_semi").select(
@@ -74,14 +86,35 @@ def as_of(fact: DataFrame, history: DataFrame, date: str = "order_date", inclusi
 
 
 def integrity(history: DataFrame) -> DataFrame:
-    """(check_name, violations) of a history."""
+    """(check_name, violations) of a history. Ends are the last valid day, so that a version that starts on another's last day overlaps it.
+
+    ``overlapping_ranges`` counts pairs in which one starts later than another and by its end at the latest; open versions and equal starts are not
+    looked at. ``shared_days`` counts all pairs of versions that share a day.
+    """
     one = history.select("customer_key", "customer_id", "valid_from", "valid_to")
     two = one.withColumnsRenamed({"customer_key": "k", "customer_id": "c", "valid_from": "f", "valid_to": "t"})
-    overlap = (F.col("customer_id") == F.col("c")) & (F.col("customer_key") != F.col("k")) & (F.col("valid_from") < F.coalesce("t", F.lit("9999-12-31").cast("date"))) & (F.coalesce("valid_to", F.lit("9999-12-31").cast("date")) > F.col("f")) & (F.col("valid_from") > F.col("f"))
+    pair = F.col("customer_id") == F.col("c")
+    overlap = pair & (F.col("customer_key") != F.col("k")) & (F.col("f") > F.col("valid_from")) & (F.col("f") <= F.col("valid_to"))
+    far = F.lit("9999-12-31").cast("date")
+    shared = pair & (F.col("customer_key") < F.col("k")) & (F.col("f") <= F.coalesce("valid_to", far)) & (F.col("valid_from") <= F.coalesce("t", far))
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check_name"), "violations")
     return (
         count(current(history).groupBy("customer_id").count().filter("count > 1"), "duplicate_current")
         .unionByName(count(history.filter("valid_to is null and not is_current"), "open_not_current"))
         .unionByName(count(one.join(two, overlap), "overlapping_ranges"))
+        .unionByName(count(one.join(two, shared), "shared_days"))
         .unionByName(count(history.filter("valid_to < valid_from"), "inverted_ranges"))
     )
+
+
+def faulty(history: DataFrame) -> DataFrame:
+    """An initial history with planted faults, by the last digit of a customer's number: 1 a day in two versions, 2 equal starts, 3 one version
+    inside another, 4 an end before its start, 5 two current versions, 6 an open version that is not current."""
+    digit, day = F.col("customer_id") % 10, lambda d: F.lit(d).cast("date")
+    first_end = F.when(digit == 1, day("1996-06-30")).when(digit == 2, day("1995-12-31")).when(digit == 3, day("1997-12-31")).when(digit == 4, day("1994-12-31"))
+    first = history.withColumns({"valid_to": first_end, "is_current": (digit == 5) | ~digit.isin(1, 2, 3, 4, 6)})
+    second_start = F.when(digit == 1, day("1996-06-30")).when(digit == 2, day("1995-01-01")).when(digit == 3, day("1996-01-01")).otherwise(day("1998-01-01"))
+    second = history.filter(digit.isin(1, 2, 3, 5)).withColumns(
+        {"customer_key": F.col("customer_key") + 1_000_000, "valid_from": second_start, "valid_to": F.when(digit == 3, day("1996-12-31")), "is_current": digit != 3}
+    )
+    return first.unionByName(second)

@@ -78,3 +78,12 @@ def changed_rows(now: DataFrame, before: DataFrame) -> DataFrame:
     """Rows of ``now`` whose digest differs from that of the same customer before."""
     old = before.select("customer_id", row_digest(*STATE).alias("old"))
     return now.join(old, "customer_id").filter(row_digest(*STATE) != F.col("old")).drop("old")
+
+
+def all_changes(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(customer_id, change_type, attributes): customers that are new, have changed or are gone; the attributes are the new ones, of those gone the last ones."""
+    old = before.select(F.col("customer_id").alias("old_id"), row_digest(*STATE).alias("old"), *(F.col(c).alias(f"old_{c}") for c in STATE))
+    joined = now.withColumn("new", row_digest(*STATE)).join(old, F.col("customer_id") == F.col("old_id"), "full_outer").filter(~F.col("new").eqNullSafe(F.col("old")))
+    kind = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").otherwise("update")
+    gone = F.col("new").isNull()
+    return joined.select(F.coalesce("customer_id", "old_id").alias("customer_id"), kind.alias("change_type"), *(F.when(gone, F.col(f"old_{c}")).otherwise(F.col(c)).alias(c) for c in STATE))

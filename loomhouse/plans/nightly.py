@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomhouse.functions import share
-from loomhouse.operators import checks, snapshots
+from loomhouse.operators import checks, history, snapshots
 from loomhouse.plans.analytics import counts, union
 from loomhouse.plans.warehouse import Warehouse
 
@@ -57,17 +57,17 @@ def c2b_gaps_anti(w: Warehouse) -> DataFrame:
     return snapshots.nights(w.spark).join(w.snapshot_job_history.filter(ok()), "night_number", "left_anti")
 
 
-def c3a_exact_night(w: Warehouse) -> DataFrame:
-    return w.periodic_snapshots.filter(F.col("night_number") == NIGHT).agg(n_rows().alias("rows_returned"))
+def c3a_exact_night(w: Warehouse, night: int = NIGHT) -> DataFrame:
+    return w.periodic_snapshots.filter(F.col("night_number") == F.lit(night)).agg(n_rows().alias("rows_returned"))
 
 
-def c3b_fallback(w: Warehouse) -> DataFrame:
-    last = w.periodic_snapshots.filter(F.col("night_number") <= NIGHT).agg(F.max("night_number").alias("night_number"))
+def c3b_fallback(w: Warehouse, night: int = NIGHT) -> DataFrame:
+    last = w.periodic_snapshots.filter(F.col("night_number") <= F.lit(night)).agg(F.max("night_number").alias("night_number"))
     return w.periodic_snapshots.join(F.broadcast(last), "night_number").withColumnRenamed("night_number", "reconstructed_as_of_night")
 
 
-def c3c_replay(w: Warehouse) -> DataFrame:
-    return snapshots.replayed(w.incremental_base_snapshot, w.incremental_deltas, NIGHT)
+def c3c_replay(w: Warehouse, night: int = NIGHT) -> DataFrame:
+    return snapshots.replayed(w.incremental_base_snapshot, w.incremental_deltas, night)
 
 
 def _naive(w: Warehouse) -> DataFrame:
@@ -129,6 +129,12 @@ def r0_changed_rows(w: Warehouse) -> DataFrame:
     return snapshots.changed_rows(_of_night(w, LATER).drop("night_number"), _of_night(w, NIGHT - 1).drop("night_number"))
 
 
+def r0_all_changes(w: Warehouse) -> DataFrame:
+    """Between two nights of a population that is not fixed: customers came, went and changed."""
+    now, before = (_of_night(w, night).drop("night_number").filter(F.col("customer_id") % k != 0) for night, k in ((LATER, 7), (NIGHT - 1, 5)))
+    return snapshots.all_changes(now, before)
+
+
 def _retry(w: Warehouse) -> DataFrame:
     return r0_changed_rows(w).select("customer_id", F.lit(LATER).alias("night_number"), *snapshots.STATE)
 
@@ -185,6 +191,33 @@ def v5_naive_flagged(w: Warehouse) -> DataFrame:
     return _naive(w).crossJoin(v4_anomaly(w).select("threshold")).withColumn("passed", F.col("delta_rows") < F.col("threshold"))
 
 
+def _fresh(w: Warehouse, day: int) -> DataFrame:
+    """Whether the last successful copy had ended within a day before the morning of a night's day."""
+    done = w.snapshot_job_history.filter(ok() & (F.col("snapshot_type") == "periodic") & (F.col("night_number") <= day))
+    return checks.freshness(done, "finished_at", F.expr(f"timestamp_ntz'2024-01-01 06:00:00' + make_dt_interval({day - 1})"), F.make_dt_interval(F.lit(1)))
+
+
+def v6_freshness(w: Warehouse) -> DataFrame:
+    """On the last day, and on the day of the night that failed."""
+    return union([_fresh(w, day).select(F.lit(day).alias("day"), "latest", "passed") for day in (snapshots.NIGHTS, NIGHT)])
+
+
+def v0_checks(w: Warehouse) -> DataFrame:
+    """All checks in one table: label, status (PASS, FAIL or SKIP) and detail."""
+    flags = {
+        "delta bound": (v1_delta_bound(w), F.col("max_delta")),
+        "checksum of a night": (v3_checksum(w), F.col("official")),
+        "anomaly": (v4_anomaly(w), F.col("max_delta")),
+        "naive delta": (v5_naive_flagged(w), F.col("delta_rows")),
+        "fresh on the last day": (_fresh(w, snapshots.NIGHTS), F.date_format("latest", "yyyy-MM-dd")),
+        "fresh on the failed day": (_fresh(w, NIGHT), F.date_format("latest", "yyyy-MM-dd")),
+    }
+    rows = [checks.outcome(k, df, F.col("passed"), detail) for k, (df, detail) in flags.items()]
+    tables = {"duplicates in deltas": w.incremental_deltas, "duplicates after a naive retry": _retry(w).unionByName(_retry(w)), "duplicates in an absent table": None}
+    rows += [checks.no_duplicates(w.spark, k, df, "customer_id", "night_number") for k, df in tables.items()]
+    return union([*rows, history.integrity(w.dim_customer_scd2).select(F.concat(F.lit("history "), "check_name").alias("label"), F.when(F.col("violations") == 0, "PASS").otherwise("FAIL").alias("status"), F.concat(F.col("violations").cast("string"), F.lit(" violations")).alias("detail"))])
+
+
 def d1_status(w: Warehouse) -> DataFrame:
     return w.snapshot_job_history.agg(F.max("checkpoint_night").alias("current_checkpoint"), F.count_if(ok()).alias("successful_jobs"), F.count_if(F.col("status") == "failed").alias("failed_jobs"))
 
@@ -212,5 +245,5 @@ def d5_health(w: Warehouse) -> DataFrame:
 QUERIES = {
     **{k: (lambda w, t=t: getattr(w, t)) for k, t in (("n1_customer_baseline", "customer_baseline"), ("n2_change_log", "change_log"), ("n4_job_history", "snapshot_job_history"), ("n5_periodic_snapshots", "periodic_snapshots"), ("n6_base_snapshot", "incremental_base_snapshot"), ("n7_incremental_deltas", "incremental_deltas"))},
     "n9_checkpoint_advance": lambda w: _increments(w).select("night_number", "status", "checkpoint_night"),
-    **{f.__name__: f for f in (n3_true_states, n8_tracking_state, n10_storage, c1_storage_rows, c2_gaps, c2b_gaps_anti, c3a_exact_night, c3b_fallback, c3c_replay, c4_naive_delta, c5_defensive_delta, c6_verification, c7_health, k1_around_failure, k2_first_successes, k3_checkpoint_at_failure, k4_checkpoints, k5_safe_checkpoint, r0_changed_rows, r1_append, r2_naive_retry, r3_idempotent_retry, v1_delta_bound, v2_duplicates, v3_checksum, v4_anomaly, v5_naive_flagged, d1_status, d2_storage, d3_latest_activity, d4_warnings, d5_health)},
+    **{f.__name__: f for f in (n3_true_states, n8_tracking_state, n10_storage, c1_storage_rows, c2_gaps, c2b_gaps_anti, c3a_exact_night, c3b_fallback, c3c_replay, c4_naive_delta, c5_defensive_delta, c6_verification, c7_health, k1_around_failure, k2_first_successes, k3_checkpoint_at_failure, k4_checkpoints, k5_safe_checkpoint, r0_changed_rows, r0_all_changes, r1_append, r2_naive_retry, r3_idempotent_retry, v1_delta_bound, v2_duplicates, v3_checksum, v4_anomaly, v5_naive_flagged, v6_freshness, v0_checks, d1_status, d2_storage, d3_latest_activity, d4_warnings, d5_health)},
 }

@@ -44,6 +44,10 @@ TABLES = {
     "wide_orders": """SELECT order_id, date, year AS order_year, quarter AS order_quarter, month AS order_month, is_weekend, customer_id, region, country, segment, product_id, product_name, category, subcategory, cost_price,
         quantity, unit_price, gross_revenue, is_refunded, net_revenue FROM star""",
     "initial_scd2": "SELECT customer_key, customer_id, region, country, segment, DATE '1995-01-01' AS valid_from, NULL::DATE AS valid_to, TRUE AS is_current FROM dim_customer",
+    "faulty": """SELECT customer_key, customer_id, valid_from, CASE customer_id % 10 WHEN 1 THEN DATE '1996-06-30' WHEN 2 THEN DATE '1995-12-31' WHEN 3 THEN DATE '1997-12-31' WHEN 4 THEN DATE '1994-12-31' END AS valid_to,
+        customer_id % 10 NOT IN (1, 2, 3, 4, 6) AS is_current FROM initial_scd2
+        UNION ALL SELECT customer_key + 1000000, customer_id, CASE customer_id % 10 WHEN 1 THEN DATE '1996-06-30' WHEN 2 THEN DATE '1995-01-01' WHEN 3 THEN DATE '1996-01-01' ELSE DATE '1998-01-01' END,
+        CASE customer_id % 10 WHEN 3 THEN DATE '1996-12-31' END, customer_id % 10 <> 3 FROM initial_scd2 WHERE customer_id % 10 IN (1, 2, 3, 5)""",
     "seen": "SELECT customer_id, min(order_date) AS first_day, max(order_date) AS last_day FROM fct_orders GROUP BY customer_id",
     "feed": """SELECT customer_id * 2 + 1 AS seq, customer_id, NULL::VARCHAR AS region, '' AS country, 'TIER_1' AS segment, (first_day + INTERVAL 1 DAY)::DATE AS change_date FROM seen WHERE customer_id % 10 = 0
         UNION ALL SELECT customer_id * 2 + 2, customer_id, 'NEW_REGION', NULL, '', (last_day + INTERVAL 1 DAY)::DATE FROM seen WHERE customer_id % 10 = 0
@@ -86,6 +90,8 @@ TABLES = {
     "increments": "SELECT night_number, status, rows_processed, checkpoint_night FROM jobs WHERE snapshot_type = 'incremental'",
     "changed": f"""SELECT a.customer_id, a.region, a.country, a.segment FROM (SELECT * FROM states WHERE night_number = 20) a JOIN (SELECT * FROM states WHERE night_number = 11) b USING (customer_id)
         WHERE {digest('a.region', 'a.country', 'a.segment')} <> {digest('b.region', 'b.country', 'b.segment')}""",
+    "came": "SELECT * FROM states WHERE night_number = 20 AND customer_id % 7 <> 0",
+    "went": "SELECT * FROM states WHERE night_number = 11 AND customer_id % 5 <> 0",
     "storage": "SELECT (SELECT count(*) FROM periodic_snapshots) AS periodic_rows, (SELECT count(*) FROM base) + (SELECT count(*) FROM deltas) AS incremental_rows",
     "mismatch": """SELECT count(*) FILTER (p.region <> s.region) AS region_mismatches, count(*) FILTER (p.region <> s.region OR p.country <> s.country OR p.segment <> s.segment) AS mismatches
         FROM periodic_snapshots p JOIN states s USING (customer_id, night_number) WHERE night_number = 20""",
@@ -103,7 +109,10 @@ def _integrity(t: str) -> str:
     return f"""SELECT 'duplicate_current' AS check_name, count(*) AS violations FROM (SELECT 1 FROM {t} WHERE is_current GROUP BY customer_id HAVING count(*) > 1)
         UNION ALL SELECT 'open_not_current', count(*) FROM {t} WHERE valid_to IS NULL AND NOT is_current
         UNION ALL SELECT 'overlapping_ranges', count(*) FROM {t} a JOIN {t} b ON a.customer_id = b.customer_id AND a.customer_key <> b.customer_key
-            AND a.valid_from > b.valid_from AND a.valid_from < coalesce(b.valid_to, {far}) AND coalesce(a.valid_to, {far}) > b.valid_from
+            AND b.valid_from BETWEEN a.valid_from + INTERVAL 1 DAY AND a.valid_to
+        UNION ALL SELECT 'shared_days', count(*) FROM {t} a JOIN {t} b ON a.customer_id = b.customer_id AND a.customer_key < b.customer_key
+            AND greatest(a.valid_from, b.valid_from) <= least(coalesce(a.valid_to, {far}), coalesce(b.valid_to, {far}))
+            AND a.valid_from <= coalesce(b.valid_to, {far}) AND b.valid_from <= coalesce(a.valid_to, {far})
         UNION ALL SELECT 'inverted_ranges', count(*) FROM {t} WHERE valid_to < valid_from"""
 
 
@@ -131,6 +140,8 @@ HASHED = "('0x' || substr(md5(concat_ws('|', customer_id::VARCHAR, region, count
 T1 = "SELECT o.order_id, o.line_id, o.order_date, o.net_revenue, c.region AS region_at_order, c.country AS country_at_order, c.segment AS segment_at_order FROM fct_orders o JOIN dim_customer_scd2 c ON {on} ORDER BY o.line_id LIMIT 20"
 T2 = "SELECT c.region AS region_at_order, d.year, sum(o.net_revenue) AS net_revenue, count(DISTINCT o.order_id) AS order_count FROM fct_orders o JOIN dim_customer_scd2 c ON {on} JOIN dim_date d ON o.date_key = d.date_key GROUP BY ALL"
 T3 = f"SELECT o.order_id, o.line_id, o.order_date, o.net_revenue, c.segment AS segment_at_order, c.valid_from, c.valid_to FROM fct_orders o JOIN dim_customer_scd2 c ON {STRICT} WHERE o.customer_id = 10"
+FRESH = """SELECT {day}::INT AS day, max(finished_at) AS latest, max(finished_at) >= TIMESTAMP '2024-01-01 06:00:00' + to_days({day} - 1) - INTERVAL 1 DAY AS passed
+        FROM jobs WHERE status = 'success' AND snapshot_type = 'periodic' AND night_number <= {day}"""
 V4 = "max(n) AS max_delta, sum(n)::DOUBLE / count(*) AS avg_delta, greatest(sum(n)::DOUBLE / count(*) * 5, 10.0::DOUBLE) AS threshold"
 
 QUERIES = {
@@ -161,11 +172,13 @@ QUERIES = {
     "s2_current": "SELECT * FROM dim_customer_scd2 WHERE is_current",
     "s3_integrity_initial": _integrity("initial_scd2"),
     "s5_integrity": _integrity("dim_customer_scd2"),
+    "s5_integrity_of_faulty": _integrity("faulty"),
     "s6_load_summary": _summary("initial_scd2"),
     "s8_change_detection": f"""SELECT seq, customer_id, change_date, a AS current_hash, b AS incoming_hash, if(a <> b, 'CHANGE DETECTED', 'no change') AS status FROM (
         SELECT f.seq, f.customer_id, f.change_date, {digest('c.region', 'c.country', 'c.segment')} AS a, {digest("coalesce(nullif(f.region, ''), c.region)", "coalesce(nullif(f.country, ''), c.country)", "coalesce(nullif(f.segment, ''), c.segment)")} AS b
         FROM feed f JOIN initial_scd2 c USING (customer_id))""",
     "s9_unmatched_feed": "SELECT count(*) AS violations FROM feed WHERE customer_id NOT IN (SELECT customer_id FROM initial_scd2)",
+    "s9_unmatched_of_feed": "SELECT seq, customer_id + 10000000 AS customer_id FROM feed WHERE customer_id % 20 = 0",
     "s9_point_lookup": "SELECT customer_id, region, country, segment FROM dim_customer_scd2 WHERE is_current AND customer_id = 10",
     "s10_next_key": "SELECT max(customer_key) + 1 AS next_customer_key FROM dim_customer_scd2",
     "s13_change_summary": _summary("dim_customer_scd2", ", (SELECT max(version_count) FROM versions) AS max_versions"),
@@ -193,6 +206,7 @@ QUERIES = {
     "i2_coverage": "SELECT a AS total_customers, b AS with_promo, a - b AS without_promo FROM (SELECT (SELECT count(*) FROM dim_customer) AS a, (SELECT count(*) FROM promo_counts) AS b)",
     "i3_broken_revenue": f"SELECT {REV} AS total_revenue FROM broken",
     "i4_row_counts": _counts({"baseline": "fct_orders", "joined": "broken"}, "stage"),
+    "i5_affected_customers": "SELECT promo_count, count(*) AS customer_count, promo_count > 1 AS inflates FROM promo_counts GROUP BY promo_count",
     "i6_inflation": f"SELECT *, {ratio(cents('inflation_amount'), cents('correct_revenue'), 2, 100)} AS inflation_pct FROM (SELECT *, inflated_row_count - correct_row_count AS phantom_rows, (inflated_revenue - correct_revenue)::DECIMAL(38,2) AS inflation_amount FROM (SELECT count(*) AS correct_row_count, {REV} AS correct_revenue FROM fct_orders), (SELECT count(*) AS inflated_row_count, {REV} AS inflated_revenue FROM broken))",
     "i7_worst_customers": f"SELECT *, {ratio(cents('inflated_revenue'), cents('correct_revenue'), 2)} AS inflation_factor FROM (SELECT customer_id, count(*) AS correct_rows, {REV} AS correct_revenue FROM fct_orders GROUP BY customer_id) JOIN (SELECT * FROM promo_counts WHERE promo_count >= 2) USING (customer_id) JOIN (SELECT customer_id, count(*) AS inflated_rows, {REV} AS inflated_revenue FROM broken GROUP BY customer_id) USING (customer_id) ORDER BY inflation_factor DESC NULLS LAST, customer_id LIMIT 10",
     "f1_latest": f"SELECT {REV} AS total_revenue FROM fct_orders LEFT JOIN latest USING (customer_id)",
@@ -222,6 +236,9 @@ QUERIES = {
     "k4_checkpoints": "SELECT * FROM increments",
     "k5_safe_checkpoint": "SELECT max(checkpoint_night) AS safe_checkpoint_to_use FROM increments WHERE status = 'success' AND checkpoint_night <= 12",
     "r0_changed_rows": "SELECT * FROM changed",
+    "r0_all_changes": """SELECT customer_id, 'insert' AS change_type, region, country, segment FROM came WHERE customer_id NOT IN (SELECT customer_id FROM went)
+        UNION ALL SELECT customer_id, 'delete', region, country, segment FROM went WHERE customer_id NOT IN (SELECT customer_id FROM came)
+        UNION ALL SELECT a.customer_id, 'update', a.region, a.country, a.segment FROM came a JOIN went b USING (customer_id) WHERE (a.region, a.country, a.segment) IS DISTINCT FROM (b.region, b.country, b.segment)""",
     "r1_append": "SELECT *, 20::INT AS night_number FROM changed",
     "r2_naive_retry": "SELECT count(*) AS duplicate_pairs FROM changed",
     "r3_idempotent_retry": " UNION ALL ".join(f"SELECT 'run_{n}' AS attempt, count(*) AS row_count FROM changed" for n in (1, 2, 3)),
@@ -230,6 +247,17 @@ QUERIES = {
     "v3_checksum": f"SELECT independent, official, independent = official AS passed FROM (SELECT sum({HASHED})::BIGINT AS independent FROM states WHERE night_number = 20), (SELECT sum({HASHED})::BIGINT AS official FROM periodic_snapshots WHERE night_number = 20)",
     "v4_anomaly": f"SELECT *, max_delta < threshold AS passed, max_delta < avg_delta * 5 AS passed_without_floor FROM (SELECT {V4} FROM sizes)",
     "v5_naive_flagged": f"SELECT delta_rows, threshold, delta_rows < threshold AS passed FROM naive, (SELECT {V4} FROM sizes)",
+    "v6_freshness": " UNION ALL ".join(FRESH.format(day=d) for d in (30, 12)),
+    "v0_checks": f"""SELECT 'delta bound' AS label, if(max(n) * 20 < (SELECT count(*) FROM customer_baseline), 'PASS', 'FAIL') AS status, max(n)::VARCHAR AS detail FROM sizes
+        UNION ALL SELECT 'checksum of a night', if(a = b, 'PASS', 'FAIL'), b::VARCHAR FROM (SELECT sum({HASHED})::BIGINT AS a FROM states WHERE night_number = 20), (SELECT sum({HASHED})::BIGINT AS b FROM periodic_snapshots WHERE night_number = 20)
+        UNION ALL SELECT 'anomaly', if(max_delta < threshold, 'PASS', 'FAIL'), max_delta::VARCHAR FROM (SELECT {V4} FROM sizes)
+        UNION ALL SELECT 'naive delta', if(delta_rows < threshold, 'PASS', 'FAIL'), delta_rows::VARCHAR FROM naive, (SELECT {V4} FROM sizes)
+        UNION ALL SELECT 'fresh on the last day', if(passed, 'PASS', 'FAIL'), strftime(latest, '%Y-%m-%d') FROM ({FRESH.format(day=30)})
+        UNION ALL SELECT 'fresh on the failed day', if(passed, 'PASS', 'FAIL'), strftime(latest, '%Y-%m-%d') FROM ({FRESH.format(day=12)})
+        UNION ALL SELECT 'duplicates in deltas', if(n = 0, 'PASS', 'FAIL'), n || ' duplicates' FROM twice
+        UNION ALL SELECT 'duplicates after a naive retry', if(count(*) = 0, 'PASS', 'FAIL'), count(*) || ' duplicates' FROM changed
+        UNION ALL SELECT 'duplicates in an absent table', 'SKIP', 'no such table'
+        UNION ALL SELECT 'history ' || check_name, if(violations = 0, 'PASS', 'FAIL'), violations || ' violations' FROM ({_integrity("dim_customer_scd2")})""",
     "d1_status": "SELECT max(checkpoint_night) AS current_checkpoint, count(*) FILTER (status = 'success') AS successful_jobs, count(*) FILTER (status = 'failed') AS failed_jobs FROM jobs",
     "d3_latest_activity": "SELECT night_number AS latest_snapshot, n AS rows_changed FROM sizes WHERE night_number = (SELECT max(night_number) FROM sizes)",
     "d4_warnings": "SELECT night_number, snapshot_type, status FROM jobs WHERE status = 'failed'",

@@ -33,6 +33,10 @@ def s5_integrity(w: Warehouse) -> DataFrame:
     return history.integrity(w.dim_customer_scd2)
 
 
+def s5_integrity_of_faulty(w: Warehouse) -> DataFrame:
+    return history.integrity(history.faulty(w.initial_scd2))
+
+
 def _summary(df: DataFrame) -> DataFrame:
     return df.agg(n_rows().alias("total_rows"), F.count_distinct("customer_id").alias("distinct_customers"), F.count_if("is_current").alias("current_records"), F.count_if(F.col("valid_to").isNull()).alias("open_records"))
 
@@ -49,8 +53,14 @@ def s9_unmatched_feed(w: Warehouse) -> DataFrame:
     return history.unmatched(w.initial_scd2, w.feed).agg(n_rows().alias("violations"))
 
 
-def s9_point_lookup(w: Warehouse) -> DataFrame:
-    return history.current(w.dim_customer_scd2).filter(F.col("customer_id") == CUSTOMER).select("customer_id", "region", "country", "segment")
+def s9_unmatched_of_feed(w: Warehouse) -> DataFrame:
+    """Records of a feed for customers that have no history: with them the feed is refused."""
+    more = w.feed.withColumn("customer_id", F.when(F.col("customer_id") % 20 == 0, F.col("customer_id") + 10_000_000).otherwise(F.col("customer_id")))
+    return history.unmatched(w.initial_scd2, more).select("seq", "customer_id")
+
+
+def s9_point_lookup(w: Warehouse, customer: int = CUSTOMER) -> DataFrame:
+    return history.current(w.dim_customer_scd2).filter(F.col("customer_id") == F.lit(customer)).select("customer_id", "region", "country", "segment")
 
 
 def s10_next_key(w: Warehouse) -> DataFrame:
@@ -106,8 +116,8 @@ def t2_region_year_inclusive(w: Warehouse) -> DataFrame:
     return _t2(w, True)
 
 
-def t3_one_customer(w: Warehouse) -> DataFrame:
-    return _at_order(w).filter(F.col("customer_id") == CUSTOMER).select("order_id", "line_id", "order_date", "net_revenue", F.col("segment").alias("segment_at_order"), "valid_from", "valid_to")
+def t3_one_customer(w: Warehouse, customer: int = CUSTOMER) -> DataFrame:
+    return _at_order(w).filter(F.col("customer_id") == F.lit(customer)).select("order_id", "line_id", "order_date", "net_revenue", F.col("segment").alias("segment_at_order"), "valid_from", "valid_to")
 
 
 def t3_one_customer_first(w: Warehouse) -> DataFrame:
@@ -129,8 +139,8 @@ def t5_inflation(w: Warehouse) -> DataFrame:
     return right.join(wrong, "customer_id").join(versions, "customer_id").withColumn("inflation_factor", rounded(cents(F.col("inflated_revenue")), cents(F.col("correct_revenue")), 2))
 
 
-def t6_segment_year(w: Warehouse) -> DataFrame:
-    joined = _at_order(w).filter(F.col("segment") == SEGMENT).join(w.dim_date.filter(F.col("year") == YEAR).select("date_key", "year"), "date_key")
+def t6_segment_year(w: Warehouse, segment: str = SEGMENT, year: int = YEAR) -> DataFrame:
+    joined = _at_order(w).filter(F.col("segment") == F.lit(segment)).join(w.dim_date.filter(F.col("year") == F.lit(year)).select("date_key", "year"), "date_key")
     return joined.groupBy("year").agg(F.sum("net_revenue").alias("net_revenue"), F.count_distinct("order_id").alias("order_count"))
 
 
@@ -181,6 +191,11 @@ def i4_row_counts(w: Warehouse) -> DataFrame:
     return counts({"baseline": w.fct_orders, "joined": _broken(w)}, "stage")
 
 
+def i5_affected_customers(w: Warehouse) -> DataFrame:
+    """Customers by their number of promotions, and how many rows each of their lines becomes."""
+    return i2_distribution(w).withColumn("inflates", F.col("promo_count") > 1)
+
+
 def i6_inflation(w: Warehouse) -> DataFrame:
     right = w.fct_orders.agg(n_rows().alias("correct_row_count"), F.sum("net_revenue").alias("correct_revenue"))
     wrong = _broken(w).agg(n_rows().alias("inflated_row_count"), F.sum("net_revenue").alias("inflated_revenue"))
@@ -248,5 +263,5 @@ QUERIES = {
     "s7_feed": lambda w: w.feed,
     "s11_history": lambda w: w.dim_customer_scd2,
     "i1_promotions": lambda w: w.promotions,
-    **{f.__name__: f for f in (s0_enriched_fact, s2_current, s3_integrity_initial, s5_integrity, s6_load_summary, s8_change_detection, s9_unmatched_feed, s9_point_lookup, s10_next_key, s13_change_summary, s13_versions_of_changed, t1_at_order, t1_at_order_inclusive, t1_coverage, t2_region_year, t2_region_year_inclusive, t3_one_customer, t3_one_customer_first, t4_unbounded, t5_inflation, t6_segment_year, t7_journey, t8_current_by_segment, t9_health, t10_many_versions, t10_histories, i2_distribution, i2_coverage, i3_broken_revenue, i4_row_counts, i6_inflation, i7_worst_customers, f1_latest, f1_attribution, f2_summarised, f3_running, f3_attribution, f4_baseline, f5_verification, f6_row_guard)},
+    **{f.__name__: f for f in (s0_enriched_fact, s2_current, s3_integrity_initial, s5_integrity, s5_integrity_of_faulty, s6_load_summary, s8_change_detection, s9_unmatched_feed, s9_unmatched_of_feed, s9_point_lookup, s10_next_key, s13_change_summary, s13_versions_of_changed, t1_at_order, t1_at_order_inclusive, t1_coverage, t2_region_year, t2_region_year_inclusive, t3_one_customer, t3_one_customer_first, t4_unbounded, t5_inflation, t6_segment_year, t7_journey, t8_current_by_segment, t9_health, t10_many_versions, t10_histories, i2_distribution, i2_coverage, i3_broken_revenue, i4_row_counts, i5_affected_customers, i6_inflation, i7_worst_customers, f1_latest, f1_attribution, f2_summarised, f3_running, f3_attribution, f4_baseline, f5_verification, f6_row_guard)},
 }

@@ -12,11 +12,13 @@ from loomhouse.operators import fanout, history, snapshots, star
 from loomhouse.session import stored
 
 EPOCH = "1995-01-01"
+#: Small plans over stored tables, which are not stored again.
+VIEWS = {"raw_customers", "raw_products", "dim_customer", "dim_product", "initial_scd2", "customer_baseline", "incremental_base_snapshot"}
 _built: dict[tuple[str, str], Warehouse] = {}
 
 
 class Warehouse:
-    """Attributes are tables; each is built when first asked for, from the tables that it needs, and stored in the shared folder."""
+    """Attributes are tables; each is built when first asked for, from the tables that it needs, and stored in the shared folder, but for ``VIEWS``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self.tables = spark, sf_dir, {}
@@ -26,7 +28,8 @@ class Warehouse:
             raise AttributeError(name)
         if name not in self.tables:
             by = ("order_year",) if name == "wide_orders" else ()
-            self.tables[name] = stored(_BUILD[name](self), name, by)
+            made = _BUILD[name](self)
+            self.tables[name] = made if name in VIEWS else stored(made, name, by)
         return self.tables[name]
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,14 +27,45 @@ def local_session(cores: int = 8, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; in a temporary folder only where the session names none."""
+#: Paths that ``shared_path`` has given out and ``delete`` has not taken back.
+_made: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``. A local session that names none gets a temporary one; on a cluster that is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="loomhouse-")
         sc.setCheckpointDir(named)
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return named.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made:
+        _made.remove(path)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside are deleted at the end; results that read them must be written before."""
+    before = {*_made}
+    try:
+        yield
+    finally:
+        for path in [x for x in _made if x not in before]:
+            delete(spark, path)
 
 
 def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

@@ -7,12 +7,11 @@ trusted, while the stream's checkpoint says which files were read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomhouse.functions import row_digest
-from loomhouse.operators.snapshots import STATE
+from loomhouse.operators.snapshots import STATE, all_changes
 
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -23,35 +22,35 @@ def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
 def run_nightly(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, failed: tuple[int, ...] = ()) -> None:
     """Take the nights (night_number, customer_id and attributes) that have come to ``source`` and write deltas and jobs under ``target``.
 
-    A batch overwrites its own nights, so that one run again leaves the same rows. A night in ``failed`` logs a failure and captures nothing; its
-    changes come with the next night that succeeds.
+    Every night is held against the tracking state, the customers of the last night captured, which is a table of its own: no night reads what came before that. New
+    customers are inserts, customers that a night lacks are deletes. A batch overwrites its own nights, so that one run again leaves the same rows. A night in
+    ``failed`` logs a failure and captures nothing; its changes come with the next night that succeeds.
     """
 
     def capture(batch: DataFrame, number: int) -> None:
         nights = sorted(r[0] for r in batch.select("night_number").distinct().collect())  # a batch holds one file's nights
         for night in nights:
-            rows = batch.filter(F.col("night_number") == night)
-            kept = spark.read.parquet(f"{target}/captured") if _exists(spark, f"{target}/captured") else None
-            earlier = kept.filter(F.col("night_number") < night) if kept is not None else None
             if night in failed:
                 _log(spark, target, night, "failed", 0)
                 continue
-            if earlier is None or earlier.isEmpty():
-                new = rows
-            else:
-                last = earlier.withColumn("rn", F.row_number().over(Window.partitionBy("customer_id").orderBy(F.desc("night_number")))).filter("rn = 1").select("customer_id", row_digest(*STATE).alias("old"))
-                new = rows.join(last, "customer_id").filter(row_digest(*STATE) != F.col("old")).drop("old")
-            new = new.select("night_number", "customer_id", *STATE)
+            rows = batch.filter(F.col("night_number") == night).select("customer_id", *STATE)
+            last = max((n for n in _nights(spark, f"{target}/state") if n < night), default=None)
+            before = spark.read.schema(rows.schema).parquet(f"{target}/state/batch={last}") if last is not None else rows.limit(0)
+            new = all_changes(rows, before).select(F.lit(night).alias("night_number"), "change_type", "customer_id", *STATE)
             new.write.mode("overwrite").parquet(f"{target}/captured/batch={night}")
+            rows.write.mode("overwrite").parquet(f"{target}/state/batch={night}")
             _log(spark, target, night, "success", spark.read.parquet(f"{target}/captured/batch={night}").count())
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     stream.writeStream.foreachBatch(capture).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _nights(spark: SparkSession, path: str) -> list[int]:
+    """The nights whose folders are whole: a writer marks them when it has ended."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")) or []
+    return [int(x.getPath().getParent().getName().split("=")[1]) for x in found]
 
 
 def _log(spark: SparkSession, target: str, night: int, status: str, rows: int) -> None:

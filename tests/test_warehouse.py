@@ -3,14 +3,16 @@
 import datetime
 import random
 from decimal import Decimal
+from types import SimpleNamespace
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from loomhouse import session
 from loomhouse.functions import numbered, rounded
-from loomhouse.operators import checks, fanout, history, snapshots
+from loomhouse.operators import checks, fanout, history, snapshots, timing
 from loomhouse.plans import analytics, nightly, timelines
 from loomhouse.plans.oracle import DECIMALS
 from loomhouse.plans.warehouse import warehouse
@@ -156,3 +158,82 @@ def test_generated_lines(spark):
     got = generated_lines(spark, 1000)
     assert rows(got) == rows(generated_lines(spark, 1000))
     assert got.filter("quantity between 1 and 10 and unit_price between 5 and 205 and customer_id between 1 and 10000 and product_id between 1 and 500").count() == 1000
+
+
+def test_integrity_counts_each_planted_fault(spark):
+    """A day in two versions, equal starts, containment, inverted ends, two current versions, an open one that is not current."""
+    day = datetime.date
+    versions = [
+        (1, 1, day(2020, 1, 1), day(2020, 2, 28), False), (2, 1, day(2020, 2, 28), None, True),
+        (3, 2, day(2020, 1, 1), day(2020, 2, 28), False), (4, 2, day(2020, 1, 1), None, True),
+        (5, 3, day(2020, 1, 1), day(2020, 12, 31), False), (6, 3, day(2020, 3, 1), day(2020, 4, 1), False),
+        (7, 4, day(2020, 2, 1), day(2020, 1, 1), False),
+        (8, 5, day(2020, 1, 1), None, True), (9, 5, day(2021, 1, 1), None, True),
+        (10, 6, day(2020, 1, 1), None, False),
+        (11, 7, day(2020, 1, 1), day(2020, 1, 31), False), (12, 7, day(2020, 2, 1), None, True),
+    ]
+    df = spark.createDataFrame(versions, "customer_key long, customer_id long, valid_from date, valid_to date, is_current boolean")
+    assert {r["check_name"]: r["violations"] for r in history.integrity(df).collect()} == {"duplicate_current": 1, "open_not_current": 1, "overlapping_ranges": 2, "shared_days": 4, "inverted_ranges": 1}
+    planted = {r["check_name"]: r["violations"] for r in entry.queries()["s5_integrity_of_faulty"](spark, SF).collect()}
+    assert all(planted.values())
+
+
+def test_a_feed_for_unknown_customers_is_refused(spark):
+    w = warehouse(spark, SF)
+    more = w.feed.limit(3).withColumn("customer_id", F.lit(-5).cast("long"))
+    with pytest.raises(ValueError, match="-5"):
+        history.apply_feed(w.initial_scd2, w.feed.unionByName(more))
+    kept = history.apply_feed(w.initial_scd2, w.feed.unionByName(more), skip_unmatched=True)
+    assert rows(kept) == rows(w.dim_customer_scd2)
+
+
+def test_current_state(spark):
+    w = warehouse(spark, SF)
+    one = w.dim_customer.select("customer_id").first()[0]
+    assert history.current_state(w.dim_customer_scd2, one)["customer_id"] == one
+    with pytest.raises(ValueError, match="-1"):
+        history.current_state(w.dim_customer_scd2, -1)
+
+
+def test_all_changes(spark):
+    schema = "customer_id long, region string, country string, segment string"
+    before = spark.createDataFrame([(1, "a", "b", "c"), (2, "a", "b", "c"), (3, None, "b", "c")], schema)
+    now = spark.createDataFrame([(1, "a", "b", "c"), (2, "x", "b", "c"), (4, "n", "n", "n")], schema)
+    assert rows(snapshots.all_changes(now, before).select("customer_id", "change_type", "region")) == sorted([("update", 2, "x"), ("delete", 3, None), ("insert", 4, "n")], key=repr)
+
+
+def test_parameters(spark):
+    w = warehouse(spark, SF)
+    one = w.fct_orders.agg(F.min("customer_id")).first()[0]
+    assert {r["customer_id"] for r in timelines.s9_point_lookup(w, one).collect()} == {one}
+    assert timelines.t6_segment_year(w, "MACHINERY", 1995).select("year").first()[0] == 1995
+    assert nightly.c3b_fallback(w, 5).select("reconstructed_as_of_night").first()[0] == 5
+
+
+def test_timing(spark):
+    got = timing.timed(spark.range(10), runs=3, discard=1)
+    assert got["mean"] > 0 and got["median"] > 0 and got["stdev"] >= 0 and timing.timed(spark.range(1), runs=1, discard=0)["stdev"] == 0.0
+    assert timing.ratio(2.0, 3.0) == {"narrow_over_wide": 1.5, "winner": "wide"}
+    assert timing.ratio(3.0, 1.5)["winner"] == "narrow" and timing.ratio(1.0, 1.01)["winner"] == "tie"
+
+
+def test_checks(spark):
+    df = spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "a int, b int")
+    assert rows(checks.no_duplicates(spark, "x", df, "a", "b")) == [("1 duplicates", "x", "FAIL")]
+    assert rows(checks.no_duplicates(spark, "x", None, "a")) == [("no such table", "x", "SKIP")]
+    moments = spark.createDataFrame([(datetime.datetime(2024, 1, 1),)], "at timestamp_ntz")
+    fresh = lambda day, df=moments: checks.freshness(df, "at", F.expr(f"timestamp_ntz'2024-01-0{day}'"), F.make_dt_interval(F.lit(1))).first()["passed"]
+    assert fresh(2) and not fresh(3) and not fresh(2, moments.limit(0))
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    """A temporary folder is for local sessions alone."""
+    unset = SimpleNamespace(getOrElse=lambda _: None)
+    context = SimpleNamespace(master="spark://somewhere:7077", getConf=dict, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(SimpleNamespace(sparkContext=context))
+    with session.cleared(spark):
+        path = session.shared_path(spark, "x")
+        spark.range(3).write.parquet(path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
