@@ -13,7 +13,7 @@ from loomhouse.session import stored
 
 EPOCH = "1995-01-01"
 #: Small plans over stored tables, which are not stored again.
-VIEWS = {"raw_customers", "raw_products", "dim_customer", "dim_product", "initial_scd2", "customer_baseline", "incremental_base_snapshot"}
+VIEWS = {"raw_customers", "raw_products", "initial_scd2", "customer_baseline", "incremental_base_snapshot"}
 _built: dict[tuple[str, str], Warehouse] = {}
 
 
