@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomhouse.llm.shared import new_path
+from loomhouse.session import delete
 
 SCHEMA = "u long, v long"
 
@@ -16,11 +17,6 @@ def _saved(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(SCHEMA).parquet(path), path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def _star(edges: DataFrame, both: bool) -> DataFrame:
     """Link the neighbours of each node to the least of them: the larger ones (``both``: edges in both directions) or the smaller ones."""
     of = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else edges
@@ -47,6 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         sign = seen
         large, middle = _saved(_star(now, both=True))
-        _delete(spark, path)
+        delete(spark, path)
         now, path = _saved(_star(large, both=False))
-        _delete(spark, middle)
+        delete(spark, middle)

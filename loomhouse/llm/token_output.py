@@ -13,8 +13,8 @@ A block holds 256 ids less the least of them. Its width fits nine tenths of them
 last block is filled up with its least id. Shards in order of (partition, chunk) hold the documents in ascending order of their ids,
 null first, rows with the same id by the hash of the text.
 
-Spark writes each shard to a folder named by its partition, chunk and number of ids (its text writer sets the end mark), and reads them as
-binary files, so any file system that Spark knows will do, and a task that is run again replaces its files.
+Spark writes the shards, one row to a file (its text writer sets the end mark), and reads them as binary files, so any file system that Spark
+knows will do, and a task that is run again replaces its files.
 """
 
 from __future__ import annotations
@@ -324,7 +324,7 @@ def _shards(tokenizer: str, end: int, ids_each: int):
 
         def out() -> pa.RecordBatch:
             data = shard(partition, chunk, before, doc_ids, np.concatenate(lengths), np.concatenate(ids))
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((partition, pa.int32()), (chunk, pa.int32()), (held, pa.int64()), (data, pa.binary()))], names=["partition", "chunk", "ids", "file"])
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["file"])
 
         for b in batches:
             for lo, hi, data, bounds in W.texts(b.column(1)):
@@ -350,50 +350,57 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 1, id_co
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     ordered = rows.repartitionByRange(F.col("id")).sortWithinPartitions("id", F.xxhash64("text"))
-    files = map_arrow(ordered, _shards(tokenizer, end, ids_each), "partition int, chunk int, ids long, file binary")
-    files.withColumn("file", F.col("file").cast("string")).write.partitionBy("partition", "chunk", "ids").option("compression", "none").text(path)
+    files = map_arrow(ordered, _shards(tokenizer, end, ids_each), "file binary")
+    files.select(F.col("file").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for content, start in zip(b.column("content"), b.column("start").to_pylist(), strict=True):
-            head, doc_ids, null, lengths, ids = read_shard(content.as_buffer())
-            ends = np.cumsum(lengths, dtype=np.int64)
-            first = ends - lengths
-            ids = ids.astype("<u4")
-            for i in range(0, len(doc_ids), 2048):
-                here = slice(i, i + 2048)
-                parts = [ids[a:z] for a, z in zip(first[here].tolist(), ends[here].tolist(), strict=True)]
-                values = ids[first[i] : ends[here][-1]].view(np.int32)
-                offsets = np.append(first[here], ends[here][-1]) - first[i]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(doc_ids[here], mask=null[here].astype(bool)),
-                        pa.array(first[here] + int(head["before"]) + start),
-                        pa.array(lengths[here].astype(np.int64)),
-                        pa.array([zlib.crc32(p) for p in parts], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)),
-                    ],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+        heads = np.frombuffer(b"".join(b.column(0).to_pylist()), HEAD)
+        yield pa.RecordBatch.from_arrays([pa.array(heads[k].astype(np.int64)) for k in ("partition", "ids")], names=["partition", "ids"])
+
+
+def _documents(starts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                head, doc_ids, null, lengths, ids = read_shard(content.as_buffer())
+                start = starts.value[int(head["partition"])] + int(head["before"])
+                ends = np.cumsum(lengths, dtype=np.int64)
+                first = ends - lengths
+                ids = ids.astype("<u4")
+                for i in range(0, len(doc_ids), 2048):
+                    here = slice(i, i + 2048)
+                    parts = [ids[a:z] for a, z in zip(first[here].tolist(), ends[here].tolist(), strict=True)]
+                    values = ids[first[i] : ends[here][-1]].view(np.int32)
+                    offsets = np.append(first[here], ends[here][-1]) - first[i]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(doc_ids[here], mask=null[here].astype(bool)),
+                            pa.array(first[here] + start),
+                            pa.array(lengths[here].astype(np.int64)),
+                            pa.array([zlib.crc32(p) for p in parts], pa.int64()),
+                            pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)),
+                        ],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
+                    )
+
+    return run
 
 
 def read_tokens(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of the documents in the shards under ``path``; an empty folder gives no rows.
 
-    Folder names tell the ids of a shard, so contents are read once; the driver gets one number for each partition of the writer.
+    Only headers go to Python before the documents do, and the driver gets a number for each partition of the writer, however many shards there are.
     """
     prepare(spark)
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    if "partition" not in files.columns:
-        return spark.createDataFrame([], schema)
-    total, starts = 0, []
-    for partition, n in sorted(tuple(r) for r in files.groupBy("partition").agg(F.sum("ids")).collect()):
-        starts.append((partition, total))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    heads = map_arrow(files.select(F.substring("content", 1, HEAD.itemsize).alias("head")), _heads, "partition long, ids long")
+    total, starts = 0, {}
+    for partition, n in sorted(tuple(r) for r in heads.groupBy("partition").agg(F.sum("ids")).collect()):
+        starts[partition] = total
         total += n
-    placed = files.join(F.broadcast(spark.createDataFrame(starts, "partition int, start long")), "partition")
-    return map_arrow(placed.select("content", "start"), _documents, schema)
+    return map_arrow(files, _documents(spark.sparkContext.broadcast(starts)), "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
 def tokens_of(docs: DataFrame, tokenizer: str | None = None, **options) -> DataFrame:
