@@ -2,13 +2,14 @@
 
 A passage is a window of ``window`` consecutive words. Pass one counts, for each document, its windows' representatives: the least hash
 among the word runs of half a window that the window holds. Equal windows have equal representatives, so the number of documents with a
-window's representative is never below the number with the window. Each partition keeps the counts in a sparse count-min sketch of two
-rows, counters saturating at two; the sketches are merged by cells (the top bits of a hash).
+window's representative is never below the number with the window. Every task keeps the counts in a count-min sketch of ``LINES`` lines of
+counters that stop at two, one for every ``COUNTER_BYTES`` bytes of text; the tasks' sketches are added (``bitfields``), section by section.
 
-Pass two emits the windows whose representative is estimated at two or more: none that repeats is lost. These alone are grouped exactly,
-by 96 bits of hash, and each word under a window that also starts in a document with a smaller id is removed.
+Pass two emits the windows whose representative is estimated at two or more in all lines: none that repeats is lost. These alone are stored and grouped exactly,
+by 96 bits of hash of their words' 64-bit keys, and each word under a window that also starts in a document with a smaller id is removed.
 
-The counters that pass two needs are broadcast in passes of ``max_sketch_bytes`` at most.
+A sketch of ``max_sketch_bytes`` at most is broadcast, and texts are read once more. Beyond that size the documents' representatives are stored in folders by section, each section
+is held against its own folder, and what it finds goes back to the documents by a join; so the texts are read as often at every size.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomhouse.llm import bitfields
 from loomhouse.llm import words as W
-from loomhouse.llm.shared import map_arrow, prepare, written
+from loomhouse.llm.shared import map_arrow, new_path, prepare, written
 
-CELL_BITS = 10
-CELLS = 1 << CELL_BITS
+LINES = 2
+COUNTER_BYTES = 16
 FLUSH = 1 << 20
 _ONE, _TWO = np.uint64(0xC2B2AE3D27D4EB4F | 1), np.uint64(0x165667B19E3779F9 | 1)
-_SKETCH = pa.schema([("cell", pa.int32()), ("line", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
 _ALL = np.iinfo(np.int64).max
 
 
@@ -66,80 +67,106 @@ def windows(w: W.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at, least[at]
 
 
-def _lines(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A representative's counters in the two lines: the cell in the upper half, the place in the lower."""
-    cell = (x >> np.uint64(64 - CELL_BITS)) << np.uint64(32)
-    return cell | ((x << np.uint64(CELL_BITS)) >> np.uint64(32)), cell | (W.mix(x + _TWO) >> np.uint64(32))
+class Shape:
+    """The sketch's counters: ``sections`` parts of ``width`` counters in each line."""
 
+    def __init__(self, text_bytes: int, most: int = 1 << 25):
+        counters = max(1 << 16, text_bytes // COUNTER_BYTES)
+        self.sections = -(-counters // most)
+        self.width = -(-counters // self.sections)
 
-def _doubles(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers that occur once, numbers that occur more often), sorted."""
-    x, n = np.unique(x, return_counts=True)
-    return x[n == 1], x[n > 1]
+    def section(self, x: np.ndarray) -> np.ndarray:
+        return ((x >> np.uint64(32)) % np.uint64(self.sections)).astype(np.int64)
 
+    def place(self, x: np.ndarray, line: int) -> np.ndarray:
+        """The counter of each representative in a line of its section."""
+        return (((W.mix(x + _TWO * np.uint64(line)) & np.uint64(0xFFFFFFFF)) * np.uint64(self.width)) >> np.uint64(32)).astype(np.int64)
 
-def _count(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def repeated(self, x: np.ndarray, planes: dict[int, np.ndarray]) -> np.ndarray:
+        """Whether all counters of each representative are at two; ``planes`` has the sections' lines."""
+        found, of = np.zeros(len(x), bool), self.section(x)
+        for s in np.unique(of):
+            here = np.flatnonzero(of == s)
+            for line in range(LINES):
+                here = here[bitfields.are_set(planes[s * LINES + line], self.place(x[here], line))]
+            found[here] = True
+        return found
+
+
+def _of_texts(w: W.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, representatives) of a slice: each text's representatives once."""
+    at, least = windows(w, window)
+    owner = w.owner()[at]
+    if len(at):
+        new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]))))
+        owner, least = owner[new], least[new]
+        by = np.lexsort((least, owner))
+        owner, least = owner[by], least[by]
+        new = np.concatenate(([True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])))
+        owner, least = owner[new], least[new]
+    return owner, least
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = []
-            for line, places in enumerate(_lines(np.concatenate(held))):
-                once, twice = _doubles(places)
-                edge = np.arange(CELLS + 1, dtype=np.uint64) << np.uint64(32)
-                a, b = np.searchsorted(once, edge), np.searchsorted(twice, edge)
-                rows += [(c, line, once[a[c] : a[c + 1]].astype("<u4").tobytes(), twice[b[c] : b[c + 1]].astype("<u4").tobytes()) for c in range(CELLS) if a[c] < a[c + 1] or b[c] < b[c + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SKETCH, strict=True)], schema=_SKETCH)
 
+def _count(window: int, shape: Shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            for _, _, w in W.slices(b.column(0)):
-                at, least = windows(w, window)
-                if not len(at):
-                    continue
-                owner = w.owner()[at]
-                new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]))))
-                pair = np.unique(np.stack((owner[new].astype(np.uint64), least[new])), axis=1)  # a document counts once
-                held.append(pair[1])
-                size += len(held[-1])
+            for _, _, w in W.slices(b.column("text")):
+                _, x = _of_texts(w, window)
+                held += [bitfields.at(shape.section(x) * LINES + line, shape.place(x, line)) for line in range(LINES)]
+                size += len(x)
                 if size >= FLUSH:
-                    yield from flush()
+                    yield bitfields.noted(held)
                     held, size = [], 0
         if held:
-            yield from flush()
+            yield bitfields.noted(held)
 
     return run
 
 
-def _merge(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    once = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("once").to_pylist()])
-    twice = [np.frombuffer(x, "<u4") for x in rows.column("twice").to_pylist()]
-    found = np.unique(np.concatenate([_doubles(once)[1], *twice])).astype("<u4")
-    return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "line": pa.array([key[1].as_py()], pa.int32()), "twice": pa.array([found.tobytes()], pa.binary())})
+def _representatives(window: int, shape: Shape, each: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, w in W.slices(b.column("text")):
+                owner, x = _of_texts(w, window)
+                whose = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((shape.section(x) // each).astype(np.int32)), pa.array(x.view(np.int64)), *(b.column(k).slice(lo, hi - lo).take(whose) for k in ("id", "hash"))], names=["pass", "representative", "id", "hash"]
+                )
+
+    return run
 
 
-def _candidates(window: int, sent, here: np.ndarray):
+def _repeated(shape: Shape, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = sent.value
+        for b in batches:
+            at = pa.array(np.flatnonzero(shape.repeated(b.column("representative").to_numpy().view(np.uint64), sent.value)))
+            yield pa.RecordBatch.from_arrays([x.take(at) for x in b.columns], names=b.schema.names)
 
-        def repeated(x: np.ndarray) -> np.ndarray:
-            found = here[(x >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-            for places, known in zip(_lines(x), lines, strict=True):
-                i = np.searchsorted(known, places)
-                i[i == len(known)] = 0
-                found &= known[i] == places if len(known) else False
-            return found
+    return run
 
+
+def _candidates(window: int, shape: Shape, sent):
+    """Windows whose representative the sketch (broadcast, or as the list in the column ``asked``) has at two or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, w in W.slices(b.column("text")):
                 at, least = windows(w, window)
                 if not len(at):
                     continue
-                new = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-                keep = np.repeat(repeated(least[new]), np.diff(np.append(new, len(least))))
-                at = at[keep]
+                owner = w.owner()[at]
+                new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]))))
+                if sent:
+                    hit = shape.repeated(least[new], sent.value)
+                else:
+                    hit, lists = np.zeros(len(new), bool), b.column("asked").slice(lo, hi - lo)
+                    for i, mine in enumerate(np.split(np.arange(len(new)), np.searchsorted(owner[new], np.arange(1, hi - lo)))):
+                        hit[mine] = np.isin(least[new[mine]], lists[i].values.to_numpy().view(np.uint64))
+                keep = np.repeat(hit, np.diff(np.append(new, len(least))))
+                at, owner = at[keep], owner[keep]
                 if not len(at):
                     continue
-                owner = w.owner()[at]
                 take = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -206,7 +233,7 @@ def _rewrite(keep_text: bool, names: list[str]):
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, keep_text: bool = True, max_sketch_bytes: int = 64 << 20, max_broadcast_intervals: int = 1_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, keep_text: bool = True, max_sketch_bytes: int = 64 << 20, section_counters: int = 1 << 25, max_broadcast_intervals: int = 1_000_000
 ) -> DataFrame:
     """``docs`` without the text, with n_words, n_removed, kept_sha256 and (if ``keep_text``) kept_text.
 
@@ -221,26 +248,38 @@ def remove_repeats(
     keyed = docs.select(
         *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_ALL)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")
     )
-    sketches = map_arrow(keyed.select("text"), _count(window), "cell int, line int, once binary, twice binary")
-    merged = written(sketches.groupBy("cell", "line").applyInArrow(_merge, "cell int, line int, twice binary").filter("length(twice) > 0"), "sketch")
-    passes, held = [[]], 0
-    for cell, n in sorted(tuple(r) for r in merged.groupBy("cell").agg(F.sum(F.length("twice")) * 2).collect()):  # a row for each of CELLS cells
-        if held + n > max_sketch_bytes and passes[-1]:
-            passes.append([])
-            held = 0
-        passes[-1].append(cell)
-        held += n
-
-    candidates = None
-    for cells in passes:
-        got = merged.filter(F.col("cell").isin(cells)).toArrow() if cells else None
-        lines = [np.sort(np.concatenate([np.frombuffer(x, "<u4").astype(np.uint64) | np.uint64(c << 32) for c, k, x in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True) if k == line] or [np.empty(0, np.uint64)])) if got else np.empty(0, np.uint64) for line in (0, 1)]
-        part = map_arrow(keyed.select("id", "hash", "text"), _candidates(window, spark.sparkContext.broadcast(lines), np.isin(np.arange(CELLS), cells)), "one long, two int, id long, hash long, at int")
-        candidates = part if candidates is None else candidates.unionAll(part)
-
-    first = candidates.groupBy("one", "two").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
+    shape = Shape(keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0, section_counters)
+    sketches = map_arrow(keyed.select("text"), _count(window, shape), bitfields.NOTED_SPARK)
+    merged = written(sketches.groupBy("part").applyInArrow(bitfields.merged(shape.width), bitfields.FIELD_SPARK), "sketch")
+    each = max(1, max_sketch_bytes // (LINES * (shape.width // 8 + 1)))
+
+    def planes(first: int, last: int):
+        got, empty = merged.filter(F.col("part").between(first * LINES, last * LINES - 1)).toArrow(), np.zeros(shape.width // 8 + 1, np.uint8)
+        found = {part: np.frombuffer(x, np.uint8) for part, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)}
+        return spark.sparkContext.broadcast({k: found.get(k, empty) for k in range(first * LINES, last * LINES)})
+
+    schema = "one long, two int, id long, hash long, at int"
+    if shape.sections <= each:
+        sent = planes(0, shape.sections)
+        candidates = written(map_arrow(keyed.select("id", "hash", "text"), _candidates(window, shape, sent), schema), "windows")
+        sent.unpersist()
+    else:
+        of = "pass int, representative long, id long, hash long"
+        stored = written(map_arrow(keyed.select("id", "hash", "text"), _representatives(window, shape, each), of), "representatives", ("pass",))
+        path = new_path(spark, "repeated")
+        for k in range(-(-shape.sections // each)):
+            sent = planes(k * each, min(shape.sections, (k + 1) * each))
+            mine = stored.filter(F.col("pass") == k).select("representative", "id", "hash")
+            map_arrow(mine, _repeated(shape, sent), "representative long, id long, hash long").write.mode("append").parquet(path)
+            sent.unpersist()
+        asked = spark.read.schema("representative long, id long, hash long").parquet(path).groupBy("id", "hash").agg(F.collect_set("representative").alias("asked"))
+        with_asked = keyed.select("id", "hash", "text").join(asked, ["id", "hash"])
+        candidates = written(map_arrow(with_asked, _candidates(window, shape, None), schema), "windows")
+
+    # stored, so that the join has both its sides from plain exchanges and can split the rows of a hot window
+    first = written(candidates.groupBy("one", "two").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last"), "first")
     removed = candidates.join(first, ["one", "two"]).filter("id > first")
-    covers = written(map_arrow(removed.groupBy("id", "hash").agg(F.collect_list("at").alias("starts")), _covers(window), "id long, hash long, covers array<int>"), "covers")
+    covers = written(map_arrow(removed.groupBy("id", "hash").agg(F.collect_set("at").alias("starts")), _covers(window), "id long, hash long, covers array<int>"), "covers")
     total = covers.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("covers")), F.lit(0))).first()[0]
     joined = keyed.join(F.broadcast(covers) if total <= max_broadcast_intervals else covers, ["id", "hash"], "left")
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
