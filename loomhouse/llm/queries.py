@@ -45,7 +45,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomhouse.llm.source_mixing import plan_mix
 
-    plan = plan_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    plan = plan_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep_text=False)
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -55,7 +55,7 @@ def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomhouse.llm.warc_fixity import archived, audit
 
     placed = written(archived(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("archive", "offset", "length", "page_id", "record"), "warc")
-    spoilt = F.when(F.col("page_id") % 97 == 0, F.regexp_replace("record", "(?s)^(.*?)e", "$1E")).otherwise(F.col("record"))
+    spoilt = F.when(F.col("page_id") % 97 == 0, F.regexp_replace(F.col("record").cast("string"), "(?s)^(.*?)e", "$1E").cast("binary")).otherwise(F.col("record"))
     replica = placed.filter("page_id is null or page_id % 89 <> 0").withColumn("record", spoilt)
     found = audit(placed.select("archive", "offset", "record"), replica.select("archive", "offset", "record"))
     return found.join(placed.select("archive", "offset", "page_id"), ["archive", "offset"]).select("page_id", "state", "length", "digest", "other_length", "other_digest")
