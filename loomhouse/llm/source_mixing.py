@@ -57,15 +57,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return weighed.select("source", "source_size", target.alias("target"))
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix", max_broadcast_rows: int = 100_000) -> DataFrame:
-    """``docs`` with size, source_size, target and copies.
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix", keep_text: bool = True, max_broadcast_rows: int = 100_000) -> DataFrame:
+    """``docs``, without the text unless ``keep_text``, with size, source_size, target and copies.
 
     size: the text's words (null: 0). copies: floor(target / source_size), and 1 more where the id's draw is below the fraction; 0 for a source
     without words. Rows with the same id draw alike. A null source is a source; a null id draws as an empty one. Columns named as new ones are replaced.
     """
     new = ("size", "source_size", "target", "copies")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in new and (keep_text or c != text_col)]
     sized = docs.select(*kept, count_words(F.col(f"`{text_col}`")).alias("size"))
+    if not keep_text:
+        sized = written(sized, "sized")  # so that words are counted once
     targets = written(source_targets(sized.select(F.col(f"`{source_col}`").alias("source"), "size"), weights, share, most).withColumnRenamed("source", "__source"), "targets")
     targets = broadcast_below(targets, max_broadcast_rows)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
