@@ -31,6 +31,28 @@ def base_score(counts, text):
     return len(tokens), sum(counts[w] > 0 for w in tokens), sum(math.log10((counts[w] + 1) / (total + vocabulary + 1)) for w in tokens)
 
 
+def lm_score(texts, text, order, base, mu):
+    """log10 p under counts quantised as the filter has them: least counts of n-grams, largest ones of histories."""
+    q = lambda c: 1 + math.floor(math.log(c) / math.log(base) + 1e-9)
+    least = lambda c: math.ceil(base ** (q(c) - 1) - 1e-9) if c else 0
+    most = lambda c: math.ceil(base ** q(c) - 1e-9) - 1 if c else 0
+    counts, total = collections.Counter(), 0
+    split = lambda t: ["<s>", *words(lower(t)), None]
+    for t in texts:
+        w = split(t)
+        total += len(w) - 1
+        counts.update(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    vocabulary = sum(len(k) == 1 and k != ("<s>",) for k in counts)
+    w, out = split(text), 0.0
+    for i in range(1, len(w)):
+        p = (least(counts[(w[i],)]) + 1) / (total + vocabulary + 1)
+        for n in range(2, min(order, i + 1) + 1):
+            c, h = least(counts[tuple(w[i - n + 1 : i + 1])]), most(counts[tuple(w[i - n + 1 : i])])
+            p = (c + mu * p) / (max(h, c) + mu)
+        out += math.log10(p)
+    return out
+
+
 def fingerprint(text, n=3):
     w = words(lower(text))
     shingles = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) >= n else [" ".join(w)] if w else []

@@ -1,6 +1,7 @@
 """The pipeline's stages, each against brute force on what the stage before kept."""
 
 import corpus_pipeline as pipeline
+from loomhouse import session
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -39,14 +40,33 @@ def test_stages(spark):
         docs, before = out, after
 
 
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, size string, copies string, lang_pred string, hash string, row string, c0 string, fingerprint string, __copy string"
+
+
 def test_odd_rows_pass_through(spark):
-    rows = [(1, None, None, None, None), (2, "the the of and", "en", "s", 3), (2, "the the of and", "en", "s", 3), (None, "another text of the kind", "en", None, 0), (3, "", "en", "s", 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    """Null columns, empty and very long texts, ties, repeated rows, empty tables, and columns named as the operators' own, which come out as they went in."""
+    long = " ".join(f"the{i} and of" for i in range(40_000))
+    rows = [(1, None, None, None, None), (2, "the the of and", "en", "s", 3), (2, "the the of and", "en", "s", 3), (None, "another text of the kind", "en", None, 0), (3, "", "en", "s", 0), (4, " \t\n", None, None, 0), (5, long, "en", "s", 1)]
+    docs = spark.createDataFrame([(*r, *[f"own {k}" for k in range(10)]) for r in rows], CLASHES)
     for table in (docs, docs.limit(0)):
         now = table
         for name, stage in pipeline.STAGES:
             now = pipeline.written(stage(spark, now, SF), name)
+            if name != "token_output":
+                assert now.columns == docs.columns
+                assert all(r[c] == f"own {k}" for r in now.collect() for k, c in enumerate(docs.columns[5:]))
+                if table is docs:
+                    assert {5, None} <= {r["doc_id"] for r in now.collect()}
         assert set(now.columns) == {"doc_id", "start", "n_tokens", "ids_crc32"}
+    assert now.count() == 0
+
+
+def test_run_leaves_nothing_but_the_last_stage(spark):
+    before = {*session._made}
+    out = pipeline.run(spark, SF)
+    assert out.count() > 200
+    left = [x.rpartition("/")[2].split("-")[0] for x in session._made if x not in before]
+    assert sorted(left) == ["source_mixing", "tokens"]
 
 
 def test_one_row_of_a_group_stays(spark):
