@@ -1,23 +1,24 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counting runs in one pass over the training texts. Every task adds up words and n-grams of a few million tokens at a time and
-sends them, sorted by cell (the top bits of a key), to the task that merges the cell; nothing is pruned, so what is gathered grows
-with the corpus. The merged cell keeps exact word counts and a piece of the filter: a count c is quantised to
-q = 1 + floor(log_b c), and the members (key, 1) .. (key, q) enter the piece, whose width follows their number.
-
-Scoring probes (key, 1), (key, 2), ... until one is absent, which gives q and so the least count that q stands for. With these
-counts, p(w) = (c(w) + 1) / (N + V + 1) and p(w | h) = (c(h w) + mu p(w | h')) / (c(h) + mu), where h' drops the oldest word of h.
-Least counts keep the sum of probabilities at 1 or below, but for the filter's false positives (about 1 in 100 probes).
-
-What is broadcast is bounded. The n-gram pieces go out in passes of ``max_filter_bytes`` each, and every n-gram position is scored
-in the pass that holds its cell. Word pieces beyond one pass go out in passes over the distinct words of the texts; the levels they
-give join the texts once, so that scores are the same. The table of the most frequent words has ``head_words`` rows at most. Other words are looked up by a shuffled join.
+Every task adds up the words and n-grams of some MB of text at a time and sends them, cut by cell (the top bits of a key), to the task that merges the
+cell; nothing is pruned, so what is gathered grows with the corpus, and so does the number of cells, a cell staying at ``cell_bytes`` of text. The merged cell keeps
+exact word counts and a piece of the filter: a count c is quantised to q = 1 + floor(log_b c), and the members (key, 1) .. (key, q) enter the piece, whose
+width follows their number.
+
+Scoring probes (key, 1), (key, 2), ... until one is absent, which gives q and so the least and the largest count that q stands for. With these, p(w) = (c(w) + 1) / (N + V + 1) and
+p(w | h) = (c(h w) + mu p(w | h')) / (c(h) + mu), where h' drops the oldest word of h. Least counts above and largest ones below keep the sum of
+probabilities at 1 or less, but for the filter's false positives (about 1 in 100 probes).
+
+A filter of ``max_filter_bytes`` at most is broadcast, and texts are scored in one pass. The table of the most frequent words, which
+has ``head_words`` rows at most, goes with it for the base score; other words are looked up by a shuffled join. Beyond that size no filter is sent: each cell probes its own piece for
+the keys that slices of the texts have sent it, and the levels go back to the slices, which are read once more. Both ways probe the same pieces and give the
+same scores, and the work of both is in proportion to the text.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,40 @@ from pyspark.sql import functions as F
 from loomhouse.llm import words as W
 from loomhouse.llm.shared import map_arrow, prepare, written
 
-CELL_BITS = 10
-CELLS = 1 << CELL_BITS
-FLUSH = 1 << 21
+FLUSH = 1 << 20
+#: Bytes of filter for a byte of text, more than has been seen; decides which way is tried first.
+FILTER_SHARE = 0.1
 #: Keys of the marks before and after a text.
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BE6546B65)
-_PARTS = pa.schema([("cell", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_CELLS = pa.schema([("cell", pa.int32()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("word_keys", pa.binary()), ("word_counts", pa.binary()), ("word_members", pa.int64()), ("gram_bits", pa.binary())])
+WORDS, GRAMS = 1, 2
+_NONE = np.empty(0, np.uint64)
+_PARTS = pa.schema([("cell", pa.int64()), ("slice", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_CELLS = pa.schema(
+    [("cell", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("top", pa.int32()), ("word_keys", pa.binary()), ("word_counts", pa.binary()), ("word_bits", pa.binary()), ("gram_bits", pa.binary())]
+)
+_ANSWERS = pa.schema([("slice", pa.int64()), ("kind", pa.int32()), ("cell", pa.int64()), ("levels", pa.binary()), ("counts", pa.binary()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
+
+
+def spark_schema(schema: pa.Schema) -> str:
+    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+
+
+def rows_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def cell_bits(text_bytes: int, cell_bytes: int) -> int:
+    return min(32, max(5, (text_bytes // cell_bytes).bit_length()))
+
+
+def cell_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def folded(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The 32 bits of a key that follow its cell's: an n-gram is held to these in a cell."""
+    return ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
 
 
 def follow(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -61,11 +89,13 @@ def grams(token: np.ndarray, before: np.ndarray, order: int) -> Iterator[tuple[n
     """For 2 .. order: (positions, keys of the n-grams ending there, keys of their histories). Histories never leave a text."""
     history, at = before, np.arange(len(token))
     for _ in range(2, order + 1):
-        yield at, follow(history, token[at]), history
-        deeper = at[before[at] != BEGIN]
-        whole = np.zeros(len(token), np.uint64)
-        whole[at] = follow(history, token[at])
-        history, at = whole[deeper - 1], deeper
+        key = follow(history, token[at])
+        yield at, key, history
+        whole, here = np.zeros(len(token), np.uint64), np.zeros(len(token), bool)
+        whole[at], here[at] = key, True
+        at = at[before[at] != BEGIN]
+        at = at[here[at - 1]]
+        history = whole[at - 1]
 
 
 def _sums(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -80,30 +110,33 @@ def _sums(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarra
     return keys[new], np.diff(np.append(new, len(keys))) if counts is None else np.add.reduceat(counts, new)
 
 
-def _cut(kind: int, keys: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """Distinct keys and their counts by cell. An n-gram's key is held to 32 bits beside its cell's."""
-    keys, counts = _sums(keys)
-    edges = np.searchsorted(keys, np.arange(CELLS, dtype=np.uint64) << np.uint64(64 - CELL_BITS))
-    for cell, (a, b) in enumerate(zip(edges, [*edges[1:], len(keys)], strict=True)):
-        if a < b:
-            kept = keys[a:b] if kind == 1 else ((keys[a:b] << np.uint64(CELL_BITS)) >> np.uint64(32)).astype(np.uint32)
-            yield cell, kind, kept.tobytes(), zlib.compress(counts[a:b].astype("<u4").tobytes(), 1)
+def _cut(kind: int, keys: np.ndarray, weights: np.ndarray | None, bits: int, slice_: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """Distinct keys and their counts (or sums of weights) by cell."""
+    keys, counts = _sums(keys, weights)
+    cells = cell_of(keys, bits)
+    edges = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))) if len(cells) else cells
+    held = keys if kind == WORDS else folded(keys, bits)
+    counts = counts.astype("<u4")
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=False):
+        yield int(cells[a]), slice_, kind, held[a:b].tobytes(), zlib.compress(counts[a:b].tobytes(), 1)
+
 
+def _count(order: int, bits: int):
+    """The training texts' words and n-grams."""
 
-def _count(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = [*_cut(1, np.concatenate([x[0] for x in held])), *_cut(2, np.concatenate([x[1] for x in held]))]
+            rows = [x for i, kind in enumerate((WORDS, GRAMS)) for x in _cut(kind, np.concatenate([h[i] for h in held]), None, bits, 0)]
             for i in range(0, len(rows), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i : i + 4096], strict=True), _PARTS, strict=True)], schema=_PARTS)
+                yield rows_of(_PARTS, rows[i : i + 4096])
 
         for b in batches:
             for _, _, w in W.slices(b.column(0), lower=True):
                 token, before, _ = sequence(w)
-                held.append((np.append(token, np.full(len(w.first) - 1, BEGIN)), np.concatenate([k for _, k, _ in grams(token, before, order)])))
+                held.append((np.append(token, np.full(len(w.first) - 1, BEGIN)), np.concatenate([_NONE, *(k for _, k, _ in grams(token, before, order))])))
                 size += len(token)
                 if size >= FLUSH:
                     yield from flush()
@@ -118,6 +151,16 @@ def quantised(counts: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(base) + 1e-9).astype(np.int64)
 
 
+def least(levels: np.ndarray, base: float) -> np.ndarray:
+    """The least count of a quantised count; 0 for 0."""
+    return np.where(levels > 0, np.ceil(base ** (levels - 1.0) - 1e-9), 0.0)
+
+
+def most(levels: np.ndarray, base: float) -> np.ndarray:
+    """The largest count of a quantised count; 0 for 0."""
+    return np.where(levels > 0, np.ceil(base ** (levels * 1.0) - 1e-9) - 1, 0.0)
+
+
 def _member(key: np.ndarray, level: np.ndarray | int) -> np.ndarray:
     return W.mix(key + np.asarray(level).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -145,165 +188,103 @@ def piece(keys: np.ndarray, counts: np.ndarray, base: float, bits_each: float) -
     return out
 
 
-def _merge(base: float, bits_each: float):
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        kinds = rows.column("kind").to_numpy()
-        keys, counts = rows.column("keys").to_pylist(), rows.column("counts").to_pylist()
-
-        def all_of(kind: int, of: type) -> tuple[np.ndarray, np.ndarray]:
-            at = np.flatnonzero(kinds == kind)
-            return _sums(np.concatenate([np.frombuffer(keys[i], of) for i in at] or [np.empty(0, of)]), np.concatenate([np.frombuffer(zlib.decompress(counts[i]), "<u4") for i in at] or [np.empty(0, np.uint32)]).astype(np.int64))
-
-        words, n = all_of(1, np.uint64)
-        two, m = all_of(2, np.uint32)
-        real = words != BEGIN
-        bits = piece(two.astype(np.uint64), m, base, bits_each) if len(two) else np.empty(0, np.uint64)
-        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip((key[0].as_py(), int(real.sum()), int(n[real].sum()), words.tobytes(), n.tobytes(), int(quantised(n, base).sum()) if len(n) else 0, bits.tobytes()), _CELLS, strict=True)], schema=_CELLS)
-
-    return run
-
-
 class Filter:
-    """Pieces of some cells, laid end to end."""
+    """Pieces of cells, laid end to end. ``top`` is the highest level in a cell, where probing ends even if the piece is full."""
 
-    def __init__(self, cells: dict[int, np.ndarray], fold: bool):
-        self.at, self.width = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.uint64)
-        at = 0
-        for c, x in cells.items():
-            self.at[c], self.width[c] = at, len(x)
-            at += len(x)
-        self.blocks = np.concatenate([*cells.values()]) if cells else np.zeros(0, np.uint64)
-        self.fold = fold
+    def __init__(self, pieces: dict[int, tuple[int, np.ndarray]], bits: int, fold: bool):
+        self.bits, self.fold = bits, fold
+        self.cells = np.array(sorted(pieces), np.int64)
+        blocks = [pieces[c][1] for c in self.cells.tolist()]
+        self.width = np.array([len(x) for x in blocks], np.uint64)
+        self.at = np.cumsum([0, *map(len, blocks)])[:-1].astype(np.int64)
+        self.top = np.array([pieces[c][0] for c in self.cells.tolist()], np.int64)
+        self.blocks = np.concatenate(blocks) if blocks else np.zeros(0, np.uint64)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The quantised count of each key, by membership probes of rising level; 0 where even the first fails."""
-        cell = (keys >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-        inner = (keys << np.uint64(CELL_BITS)) >> np.uint64(32) if self.fold else keys
         out = np.zeros(len(keys), np.int64)
-        open_ = np.flatnonzero(self.width[cell] > 0)
+        if not len(self.cells):
+            return out
+        cell = cell_of(keys, self.bits)
+        nth = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+        inner = folded(keys, self.bits).astype(np.uint64) if self.fold else keys
+        open_ = np.flatnonzero(self.cells[nth] == cell)
         level = 1
         while len(open_):
-            c = cell[open_]
+            c = nth[open_]
             block, bits = _place(_member(inner[open_], level), self.width[c])
-            open_ = open_[(self.blocks[self.at[c] + block.astype(np.int64)] & bits) == bits]
+            hit = (self.blocks[self.at[c] + block.astype(np.int64)] & bits) == bits
+            hit &= level <= self.top[c]
+            open_ = open_[hit]
             out[open_] = level
             level += 1
         return out
 
 
-def least(levels: np.ndarray, base: float) -> np.ndarray:
-    """The least count of a quantised count; 0 for 0."""
-    return np.where(levels > 0, np.ceil(base ** (levels - 1.0) - 1e-9), 0.0)
-
-
-def _looked_up(keys: np.ndarray, of: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The value of each key by the sorted keys ``of``; 0 where there is none."""
-    if not len(of):
-        return np.zeros(len(keys), np.int64)
-    at = np.searchsorted(of, keys)
-    at[at == len(of)] = 0
-    return np.where(of[at] == keys, values[at], 0)
-
-
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the texts and the marks before and after one, each once a slice."""
-    for b in batches:
-        for _, _, w in W.slices(b.column("text"), lower=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.append(w.key, (BEGIN, END))).view(np.int64))], names=["key"])
+def _merged(rows: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of one kind in a cell, with their counts in all parts."""
+    kinds = rows.column("kind").to_numpy()
+    at = pa.array(np.flatnonzero(kinds == kind))
+    keys, counts = (rows.column(x).take(at).to_pylist() for x in ("keys", "counts"))
+    keys = np.frombuffer(b"".join(keys), np.uint64 if kind == WORDS else np.uint32)
+    counts = np.frombuffer(b"".join(map(zlib.decompress, counts)), "<u4").astype(np.int64)
+    return _sums(keys, counts)
 
 
-def _levels(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            level = sent.value.levels(b.column("key").to_numpy().view(np.uint64))
-            at = np.flatnonzero(level)
-            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at)), pa.array(level[at], pa.int32())], names=["key", "level"])
+def _merge(base: float, bits_each: float):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        words, n = _merged(rows, WORDS)
+        grams_, m = _merged(rows, GRAMS)
+        real = words != BEGIN
+        pieces = [piece(k.astype(np.uint64), c, base, bits_each).tobytes() if len(k) else b"" for k, c in ((words, n), (grams_, m))]
+        top = max(int(quantised(c, base).max()) if len(c) else 0 for c in (n, m))
+        out = (key[0].as_py(), int(real.sum()), int(n[real].sum()), top, words.tobytes(), n.tobytes(), *pieces)
+        return pa.Table.from_batches([rows_of(_CELLS, [out])])
 
     return run
 
 
-def _outside(resident):
-    """The words of each text that the resident table lacks, each once."""
+Levels = Callable[[np.ndarray], np.ndarray]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_keys = resident.value
-        for b in batches:
-            for lo, hi, w in W.slices(b.column("text"), lower=True):
-                token, _, owner = sequence(w)
-                key, whose = np.append(token, np.full(hi - lo, BEGIN)), np.append(owner, np.arange(hi - lo))
-                rest = _looked_up(key, head_keys, np.ones(len(head_keys), np.int64)) == 0
-                key, whose = key[rest], whose[rest]
-                by = np.lexsort((key, whose))
-                key, whose = key[by], whose[by]
-                new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (whose[1:] != whose[:-1])))) if len(key) else by
-                yield pa.RecordBatch.from_arrays([b.column("hash").slice(lo, hi - lo).take(pa.array(whose[new])), pa.array(key[new].view(np.int64))], names=["hash", "key"])
-
-    return run
 
+def log_scores(token: np.ndarray, before: np.ndarray, order: int, base: float, mu: float, total: int, vocabulary: int, of_words: Levels, of_grams: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log10 p of every token after its history, the distinct words, which of them each token is)."""
+    distinct, at = np.unique(np.append(token, BEGIN), return_inverse=True)
+    levels, at, begin = of_words(distinct), at[:-1], at[-1]
+    p = (least(levels, base)[at] + 1) / (total + vocabulary + 1)
+    last = np.where(before == BEGIN, begin, np.concatenate(([begin], at[:-1])))
+    known = most(levels, base)[last]
+    for k, (pos, key, history) in enumerate(grams(token, before, order)):
+        c = least(of_grams(key), base)
+        h = most(of_grams(history), base) if k else known[pos]
+        p[pos] = (c + mu * p[pos]) / (np.maximum(h, c) + mu)
+    return np.log10(p), distinct, at
 
-def _passes(sizes: list[tuple[int, float]], most: int) -> list[list[int]]:
-    """Cells, dealt in order to passes of at most ``most`` bytes each, or of one cell."""
-    passes: list[list[int]] = [[]]
-    held = 0.0
-    for cell, size in sorted(sizes):
-        if held + size > most and passes[-1]:
-            passes.append([])
-            held = 0.0
-        passes[-1].append(cell)
-        held += size
-    return passes
 
-
-def _score(order: int, base: float, mu: float, total: int, vocabulary: int, resident, sent, names: list[str] | None):
-    """One pass: log10 p over the positions whose longest n-gram is in this pass.
-
-    The first pass, which carries the columns ``names``, adds the base sums of frequent words and the keys of the others.
-    """
+def _score(order: int, base: float, mu: float, total: int, vocabulary: int, sent, names: list[str]):
+    """The broadcast way: sums of log10 p, the base sums of frequent words, and the keys of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unigrams, head_keys, head_counts, head_levels = resident.value
-        ngrams, cells_here = sent.value
+        unigrams, ngrams, head_keys, head_counts = sent.value
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             for lo, hi, w in W.slices(b.column("text"), lower=True):
                 token, before, owner = sequence(w)
                 n = hi - lo
-                distinct, at = np.unique(np.append(token, BEGIN), return_inverse=True)
-                if unigrams is not None:
-                    level = unigrams.levels(distinct)
-                else:
-                    mine, level_of = (b.column(x).slice(lo, n).flatten().to_numpy() for x in ("word_keys", "word_levels"))
-                    mine, first = np.unique(mine.view(np.uint64), return_index=True)
-                    level = _looked_up(distinct, head_keys, head_levels) + _looked_up(distinct, mine, level_of[first])
-                count = least(level, base)
-                at = at[:-1]
-                p = (count[at] + 1) / (total + vocabulary + 1)
-                here = np.ones(len(token), bool)
-                known = count[np.searchsorted(distinct, before)]
-                for k, (pos, key, history) in enumerate(grams(token, before, order)):
-                    c = least(ngrams.levels(key), base)
-                    h = known[pos] if k == 0 else least(ngrams.levels(history) + 1, base)
-                    p[pos] = (c + mu * p[pos]) / (np.maximum(h, c) + mu)
-                    if k == order - 2 and cells_here is not None:
-                        here = cells_here[(key >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                part = np.bincount(owner, np.where(here, np.log10(p), 0.0), n)
-                rows = np.arange(row, row + n)
-                row += n
-                if names is None:
-                    yield pa.RecordBatch.from_arrays([b.column("hash").slice(lo, n), pa.array(part)], names=["hash", "part"])
-                    continue
+                logs, distinct, at = log_scores(token, before, order, base, mu, total, vocabulary, unigrams.levels, ngrams.levels)
                 found = np.searchsorted(head_keys, distinct)
                 found[found == len(head_keys)] = 0
-                in_head = (head_keys[found] == distinct) if len(head_keys) else np.zeros(len(distinct), bool)
-                logs = np.where(in_head, np.log10(head_counts[found] + 1.0), 0.0) if len(head_keys) else np.zeros(len(distinct))
-                head = in_head[at]
+                frequent = head_keys[found] == distinct if len(head_keys) else np.zeros(len(distinct), bool)
+                head = frequent[at]
+                known = (np.log10(head_counts[found] + 1.0) if len(head_keys) else np.zeros(len(distinct)))[at[head]]
                 rest, whose = token[~head], owner[~head]
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(whose, np.arange(n + 1)).astype(np.int32)), pa.array(rest.view(np.int64)))
-                carried = [b.column(x).slice(lo, n) for x in names]
+                sums = [np.bincount(owner, logs, n), np.bincount(owner[head], minlength=n).astype(np.int64), np.bincount(owner[head], known, n).astype(float)]
                 yield pa.RecordBatch.from_arrays(
-                    [*carried, pa.array(rows), pa.array(np.diff(w.first) + 1), pa.array(np.bincount(owner, head, n).astype(np.int64)), pa.array(np.bincount(owner, logs[at], n)), lists, pa.array(part)],
-                    names=[*names, "row", "n_tokens", "head_known", "head_sum", "rest", "part"],
+                    [*(b.column(x).slice(lo, n) for x in names), pa.array(np.arange(row, row + n)), pa.array(np.diff(w.first) + 1), *map(pa.array, sums), lists],
+                    names=[*names, "row", "n_tokens", "score", "head_known", "head_sum", "rest"],
                 )
+                row += n
 
     return run
 
@@ -326,6 +307,131 @@ def _threshold(counts: DataFrame, head_words: int) -> int:
     return 1 << 62 if at is None else int(np.ceil(2 ** (at / 16) - 1e-9))
 
 
+def _gathered(pieces: DataFrame, bits: int, fold: bool) -> Filter:
+    """The filter of (cell, top, piece), laid out as the pieces come in, one partition at a time."""
+    sizes = sorted(tuple(r) for r in pieces.filter("length(piece) > 0").select("cell", "top", F.length("piece")).collect())
+    out = Filter({c: (top, np.empty(size // 8, np.uint64)) for c, top, size in sizes}, bits, fold)
+    at = dict(zip(out.cells.tolist(), out.at.tolist(), strict=True))
+    for cell, data in pieces.filter("length(piece) > 0").select("cell", "piece").toLocalIterator():
+        part = np.frombuffer(data, np.uint64)
+        out.blocks[at[cell] : at[cell] + len(part)] = part
+    return out
+
+
+def _slice(names: list[str], slice_bytes: int):
+    """One row for some MB of texts: (slice, and a list for each column)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slice_, held, size = TaskContext.get().partitionId() << 33, [], 0
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.concat_arrays([x.column(k) for x in held]) for k in names]
+            ends = pa.array([0, len(columns[0])], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([slice_], pa.int64()), *(pa.ListArray.from_arrays(ends, x) for x in columns)], names=["slice", *names])
+
+        for b in batches:
+            for lo, hi, data, _ in W.texts(b.column("text")):
+                held.append(b.slice(lo, hi - lo))
+                size += len(data)
+                if size >= slice_bytes:
+                    yield out()
+                    slice_, held, size = slice_ + 1, [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _keys_of(texts: pa.Array, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(from text, to text, tokens, what is before each, owners, n-gram keys) of a slice, some of its texts at a time."""
+    for lo, hi, w in W.slices(texts, lower=True):
+        token, before, owner = sequence(w)
+        found = [*grams(token, before, order)]
+        yield lo, hi, token, before, owner, np.concatenate([_NONE, *(k for _, k, _ in found)]), np.concatenate([_NONE.astype(np.int64), *(p for p, _, _ in found)])
+
+
+def _asked(order: int, bits: int):
+    """Each slice's words and n-grams by cell, with the number of times that its training texts have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, slice_ in enumerate(b.column("slice").to_pylist()):
+                training = b.column("training")[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                keys: dict[int, list[np.ndarray]] = {WORDS: [], GRAMS: []}
+                weights: dict[int, list[np.ndarray]] = {WORDS: [], GRAMS: []}
+                for lo, hi, token, _, owner, gram, pos in _keys_of(b.column("text")[i].values, order):
+                    learnt = training[lo:hi]
+                    keys[WORDS].append(np.append(token, np.full(hi - lo, BEGIN)))
+                    weights[WORDS].append(np.append(learnt[owner], learnt))
+                    keys[GRAMS].append(gram)
+                    weights[GRAMS].append(learnt[owner[pos]])
+                rows = [x for kind in (WORDS, GRAMS) for x in _cut(kind, np.concatenate(keys[kind]), np.concatenate(weights[kind]), bits, slice_)]
+                for k in range(0, len(rows), 4096):
+                    yield rows_of(_PARTS, rows[k : k + 4096])
+
+    return run
+
+
+def _answer(base: float, bits_each: float, bits: int):
+    """A cell's levels and word counts for the keys that each slice has sent; and the cell's words and tokens."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        cell, out, filters, exact = key[0].as_py(), [], {}, {}
+        n_words = n_tokens = 0
+        tops = [0]
+        for kind in (WORDS, GRAMS):
+            keys, n = _merged(rows, kind)
+            keys, n = keys[n > 0], n[n > 0]
+            if kind == WORDS:
+                real = keys != BEGIN
+                n_words, n_tokens = int(real.sum()), int(n[real].sum())
+            exact[kind] = keys, n
+            tops.append(int(quantised(n, base).max()) if len(n) else 0)
+        for kind, (keys, n) in exact.items():
+            filters[kind] = piece(keys.astype(np.uint64), n, base, bits_each) if len(n) else None
+        prefix = np.uint64(cell << (64 - bits))
+        out.append((-1, 0, cell, b"", b"", n_words, n_tokens))
+        for slice_, kind, asked in zip(*(rows.column(x).to_pylist() for x in ("slice", "kind", "keys")), strict=True):
+            asked = np.frombuffer(asked, np.uint64 if kind == WORDS else np.uint32)
+            whole = asked if kind == WORDS else (asked.astype(np.uint64) << np.uint64(32 - bits)) | prefix
+            found = np.zeros(len(asked), np.int64)
+            if filters[kind] is not None:
+                found = Filter({cell: (max(tops), filters[kind])}, bits, kind == GRAMS).levels(whole)
+            counts = b""
+            if kind == WORDS:
+                words, n = exact[kind]
+                at = np.minimum(np.searchsorted(words, asked), max(0, len(words) - 1))
+                counts = zlib.compress((np.where(words[at] == asked, n[at], 0) if len(words) else np.zeros(len(asked))).astype("<u4").tobytes(), 1)
+            out.append((slice_, kind, cell, found.astype(np.uint8).tobytes(), counts, 0, 0))
+        return pa.Table.from_batches([rows_of(_ANSWERS, out)])
+
+    return run
+
+
+def _score_slices(order: int, base: float, mu: float, total: int, vocabulary: int, names: list[str]):
+    """The other way: a slice's texts with the levels of its keys, which come in order of the keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                answers = sorted(b.column("answers")[i].as_py(), key=lambda x: (x["kind"], x["cell"]))
+                of = lambda kind, k, answers=answers: b"".join(x[k] for x in answers if x["kind"] == kind)
+                levels = {kind: np.frombuffer(of(kind, "levels"), np.uint8).astype(np.int64) for kind in (WORDS, GRAMS)}
+                counts = np.frombuffer(b"".join(zlib.decompress(x["counts"]) for x in answers if x["kind"] == WORDS), "<u4")
+                parts = [*_keys_of(b.column("text")[i].values, order)]
+                words = np.unique(np.append(np.concatenate([x[2] for x in parts]), BEGIN))
+                keys = np.unique(np.concatenate([x[5] for x in parts]))
+                columns = [b.column(x)[i].values for x in names]
+                for lo, hi, token, before, owner, _, _ in parts:
+                    looked = lambda of, kind, levels=levels: lambda k: levels[kind][np.searchsorted(of, k)]
+                    logs, distinct, at = log_scores(token, before, order, base, mu, total, vocabulary, looked(words, WORDS), looked(keys, GRAMS))
+                    n, c = hi - lo, counts[np.searchsorted(words, distinct)][at]
+                    sums = [np.bincount(owner, minlength=n).astype(np.int64), np.bincount(owner, c > 0, n).astype(np.int64), np.bincount(owner, np.log10(c + 1.0), n), np.bincount(owner, logs, n)]
+                    yield pa.RecordBatch.from_arrays([*(x.slice(lo, n) for x in columns), *map(pa.array, sums)], names=[*names, "n_tokens", "n_known", "known_sum", "score"])
+
+    return run
+
+
 def score_texts(
     docs: DataFrame,
     training: Column,
@@ -335,117 +441,68 @@ def score_texts(
     mu: float = 64.0,
     bits_each: float = 10.0,
     head_words: int = 1 << 19,
-    max_filter_bytes: int = 48 << 20,
+    max_filter_bytes: int = 96 << 20,
+    cell_bytes: int = 8 << 20,
+    slice_bytes: int = 8 << 20,
 ) -> DataFrame:
     """``docs`` with n_tokens, n_known, train_tokens, base_score and score, from a model of the rows where ``training`` holds.
 
     Text: A-Z in lower case, words ``[^\\x20\\x09-\\x0D]+``, then one end token, which counts. A null text is an empty one: one token,
     the end. Texts of any length are taken whole. Repeated rows count as often as they occur and each gets its result. With no
-    training rows N and V are 0 and every count is 0. Columns of ``docs`` that have the names of new columns are replaced; others stay.
+    training rows N and V are 0 and every count is 0; an empty table has no rows. Columns of ``docs`` that have the names of new columns are replaced; others stay.
     """
     spark = prepare(docs.sparkSession)
-    parts = map_arrow(docs.filter(training).select(F.col(text).alias("text")), _count(order), "cell int, kind int, keys binary, counts binary")
-    cells = written(
-        parts.groupBy("cell").applyInArrow(_merge(base, bits_each), "cell int, n_words long, n_tokens long, word_keys binary, word_counts binary, word_members long, gram_bits binary"), "lm-cells"
-    )
-    sizes = cells.select("cell", "n_words", "n_tokens", "word_members", F.length("gram_bits").alias("bytes")).collect()  # a row for each of CELLS cells
-    total, vocabulary = sum(r["n_tokens"] for r in sizes), sum(r["n_words"] for r in sizes)
-
-    counts = map_arrow(cells.select("word_keys", "word_counts"), _unpack, "key long, count long")
-    bar = _threshold(counts, head_words)
-    head = counts.filter(F.col("count") >= bar).toArrow()
-    by = np.argsort(keys := head.column("key").to_numpy().view(np.uint64))
-    head_keys, head_counts = keys[by], head.column("count").to_numpy()[by]
-
-    def word_piece(batches):
-        for b in batches:
-            for cell, keys, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                bits = piece(np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64), base, bits_each)
-                yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["cell", "bits"])
-
-    def gathered(df: DataFrame) -> dict[int, np.ndarray]:
-        got = df.toArrow()
-        return {c: np.frombuffer(x, np.uint64) for c, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True) if x}
-
-    def unigrams(here: list[int]) -> Filter:
-        return Filter(gathered(map_arrow(cells.filter(F.col("cell").isin(here)).select("cell", "word_keys", "word_counts"), word_piece, "cell int, bits binary")) if here else {}, fold=False)
-
-    word_passes = _passes([(r["cell"], r["word_members"] * bits_each / 8) for r in sizes if r["word_members"]], max_filter_bytes)
-    passes = _passes([(r["cell"], r["bytes"]) for r in sizes], max_filter_bytes)
-    if order > 2 and len(passes) > 1:
-        raise ValueError("n-grams of more than two words need one pass: raise max_filter_bytes")
-
-    kept = [c for c in docs.columns if c != text]
-    names = [*(f"c{k}" for k in range(len(kept))), "hash"]
+    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    kept = [c for c in docs.columns if c != text and c not in new]
+    names = [f"c{k}" for k in range(len(kept))]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     texts = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    carried = [F.col(f"`{c}`").alias(x) for c, x in zip(kept, names, strict=False)]
-    source, words = docs.select(*carried, F.xxhash64(texts).alias("hash"), texts.alias("text")), []
-    if len(word_passes) == 1:
-        resident = spark.sparkContext.broadcast((unigrams(word_passes[0]), head_keys, head_counts, None))
-    else:
-        asked, levels, head_levels = written(map_arrow(source.select("text"), _distinct, "key long").distinct(), "lm-vocabulary"), [], np.zeros(len(head_keys), np.int64)
-        for here in word_passes:
-            part = unigrams(here)
-            head_levels = np.maximum(head_levels, part.levels(head_keys))
-            sent = spark.sparkContext.broadcast(part)
-            levels.append(written(map_arrow(asked, _levels(sent), "key long, level int"), "lm-levels"))
-            sent.unpersist()
-        level = levels[0]
-        for x in levels[1:]:
-            level = level.unionAll(x)
-        keys_sent = spark.sparkContext.broadcast(head_keys)
-        outside = map_arrow(source.select("hash", "text"), _outside(keys_sent), "hash long, key long")
-        known = outside.join(level, "key").groupBy("hash").agg(F.collect_set(F.struct("key", "level")).alias("known"))
-        words = ["word_keys", "word_levels"]
-        known = known.select("hash", F.col("known.key").alias("word_keys"), F.col("known.level").alias("word_levels"))
-        source = written(source.join(known, "hash", "left").select(*names, "text", *words), "lm-texts")
-        keys_sent.unpersist()
-        resident = spark.sparkContext.broadcast((None, head_keys, head_counts, head_levels))
-    scored: list[DataFrame] = []
-    for i, here in enumerate(passes):
-        ngrams = Filter(gathered(cells.filter(F.col("cell").isin(here)).select("cell", "gram_bits")) if here else {}, fold=True)
-        mine = None
-        if len(passes) > 1:
-            mine = np.zeros(CELLS, bool)
-            mine[here] = True
-            if not i:
-                mine |= ~np.isin(np.arange(CELLS), [r["cell"] for r in sizes])
-        sent = spark.sparkContext.broadcast((ngrams, mine))
-        del ngrams
-        run = _score(order, base, mu, total, vocabulary, resident, sent, None if i else names)
-        if i:
-            df = map_arrow(source.select("hash", "text", *words), run, "hash long, part double")
-        else:
-            df = map_arrow(
-                source,
-                run,
-                ", ".join([*(f"{x} {types[c]}" for c, x in zip(kept, names, strict=False)), "hash long, row long, n_tokens long, head_known long, head_sum double, rest array<long>, part double"]),
-            )
-        scored.append(written(df, "lm-scores"))
+    source = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(kept, names, strict=True)), F.coalesce(training, F.lit(False)).alias("training"), texts.alias("text"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = cell_bits(size, cell_bytes)
+    carried = [f"{x} {types[c]}" for x, c in zip(names, kept, strict=True)]
+
+    def result(df: DataFrame, total: int, vocabulary: int) -> DataFrame:
+        """From n_tokens, n_known, known_sum and score."""
+        base_score = F.col("known_sum") - F.col("n_tokens") * float(np.log10(total + vocabulary + 1))
+        columns = {"n_tokens": F.col("n_tokens"), "n_known": F.col("n_known"), "train_tokens": F.lit(total).cast("long"), "base_score": base_score, "score": F.col("score")}
+        return df.select(*(F.col(x).alias(c) for c, x in zip(kept, names, strict=True)), *(x.alias(c) for c, x in columns.items()))
+
+    def by_broadcast() -> DataFrame | None:
+        """None if the filter is larger than may be broadcast."""
+        parts = map_arrow(source.filter("training").select("text"), _count(order, bits), spark_schema(_PARTS))
+        cells = written(parts.groupBy("cell").applyInArrow(_merge(base, bits_each), spark_schema(_CELLS)), "lm-cells")
+        sums = cells.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("n_tokens", "n_words", F.length("word_bits") + F.length("gram_bits")))).first()
+        total, vocabulary = sums[0], sums[1]
+        if sums[2] > max_filter_bytes:
+            return None
+        counts = map_arrow(cells.select("word_keys", "word_counts"), _unpack, "key long, count long")
+        bar = _threshold(counts, head_words)
+        head = counts.filter(F.col("count") >= bar).toArrow()
+        by = np.argsort(keys := head.column("key").to_numpy().view(np.uint64))
+        unigrams, ngrams = (_gathered(cells.select("cell", "top", F.col(x).alias("piece")), bits, fold) for x, fold in (("word_bits", False), ("gram_bits", True)))
+        sent = spark.sparkContext.broadcast((unigrams, ngrams, keys[by], head.column("count").to_numpy()[by]))
+        del unigrams, ngrams
+        schema = ", ".join([*carried, "row long, n_tokens long, score double, head_known long, head_sum double, rest array<long>"])
+        one = written(map_arrow(source.select(*names, "text"), _score(order, base, mu, total, vocabulary, sent, names), schema), "lm-scores")
         sent.unpersist()
-
-    one = scored[0]
-    rest = (
-        one.select("row", F.explode("rest").alias("key"))
-        .join(counts.filter(F.col("count") < bar), "key")
-        .groupBy("row")
-        .agg(F.sum(F.log10(F.col("count") + 1.0)).alias("rest_sum"), F.count(F.lit(1)).alias("rest_known"))
-    )
-    joined = one.drop("rest").join(rest, "row", "left")
-    if len(scored) > 1:
-        scored = [one, *(x.groupBy("hash").agg(F.first("part").alias("part")) for x in scored[1:])]  # equal texts score alike
-        more = scored[1]
-        for x in scored[2:]:
-            more = more.unionAll(x)
-        joined = joined.join(more.groupBy("hash").agg(F.sum("part").alias("more")), "hash")
-    else:
-        joined = joined.withColumn("more", F.lit(0.0))
-    new = {
-        "n_tokens": F.col("n_tokens"),
-        "n_known": F.col("head_known") + F.coalesce("rest_known", F.lit(0)),
-        "train_tokens": F.lit(total).cast("long"),
-        "base_score": F.col("head_sum") + F.coalesce("rest_sum", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + vocabulary + 1)),
-        "score": F.col("part") + F.col("more"),
-    }
-    return joined.select(*(F.col(x).alias(c) for c, x in zip(kept, names, strict=False) if c not in new), *(x.alias(c) for c, x in new.items()))
+        # the words that the table of frequent ones lacks
+        rare = one.select("row", F.explode("rest").alias("key")).join(counts.filter(F.col("count") < bar), "key")
+        rest = rare.groupBy("row").agg(F.sum(F.log10(F.col("count") + 1.0)).alias("rest_sum"), F.count(F.lit(1)).alias("rest_known"))
+        joined = one.drop("rest").join(rest, "row", "left")
+        sums = {"n_known": F.col("head_known") + F.coalesce("rest_known", F.lit(0)), "known_sum": F.col("head_sum") + F.coalesce("rest_sum", F.lit(0.0))}
+        return result(joined.withColumns(sums), total, vocabulary)
+
+    def by_cells() -> DataFrame:
+        lists = ", ".join(["slice long", *(f"{x} array<{types[c]}>" for x, c in zip(names, kept, strict=True)), "training array<boolean>, text array<string>"])
+        slices = written(map_arrow(source, _slice([*names, "training", "text"], slice_bytes), lists), "lm-slices")
+        parts = map_arrow(slices.select("slice", "training", "text"), _asked(order, bits), spark_schema(_PARTS))
+        answers = written(parts.groupBy("cell").applyInArrow(_answer(base, bits_each, bits), spark_schema(_ANSWERS)), "lm-answers")
+        total, vocabulary = (x or 0 for x in answers.agg(F.sum("n_tokens"), F.sum("n_words")).first())
+        of_slice = answers.filter("kind > 0").groupBy(F.col("slice").alias("of")).agg(F.collect_list(F.struct("kind", "cell", "levels", "counts")).alias("answers"))
+        joined = slices.drop("training").join(of_slice, F.col("slice") == F.col("of"))
+        schema = ", ".join([*carried, "n_tokens long, n_known long, known_sum double, score double"])
+        return result(map_arrow(joined.select(*names, "text", "answers"), _score_slices(order, base, mu, total, vocabulary, names), schema), total, vocabulary)
+
+    found = by_broadcast() if size * FILTER_SHARE <= max_filter_bytes else None
+    return found if found is not None else by_cells()
