@@ -3,7 +3,7 @@
 Every URL is expanded into expressions: a suffix of its host's labels joined to a prefix of its path, for the label counts and path
 lengths that the rules have. An expression's SHA-256 meets the rules' digests by an equi-join on the first 32 bits; the full digest
 confirms the hit, and the rule that takes precedence decides. URLs that agree in host and in the part of the path that rules can see
-are judged once, so a hot host costs a few rows.
+are judged once, so a hot host costs a few rows, and what was judged is joined to all rows by broadcast up to a bound.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomhouse.llm.shared import broadcast_below, written
+
 ALLOW, BLOCK = "allow", "block"
 
 
@@ -30,11 +32,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def _hashed(df: DataFrame, host: str, path: str) -> DataFrame:
-    digest = F.sha2(F.concat(host, path), 256)
+    digest = F.sha2(F.concat(host, F.lit("\n"), path), 256)
     return df.withColumn("__digest", digest).withColumn("__prefix", F.substring("__digest", 1, 8))
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = ALLOW) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = ALLOW, max_broadcast_sites: int = 100_000) -> DataFrame:
     """``pages`` with host, path, rule and verdict.
 
     ``rules`` has host, path (a prefix, with its slash) and action. A rule fits its host and all subdomains if the path starts with the
@@ -67,10 +69,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         )
     )
     if shapes:
-        expressions = _hashed(sites.select("__site", "__start", F.explode(F.array_compact(forms)).alias("__form")).select("__site", "__start", "__form.*"), "__suffix", "__head")
-        hits = expressions.join(hashed.withColumnRenamed("__digest", "__rule_digest"), "__prefix").filter("__digest = __rule_digest")
         rule = F.concat("__rule_host", "__rule_path")
-        best = hits.groupBy("__site", "__start").agg(F.max(F.struct(F.length(rule), F.col("__labels"), F.col("__action") == BLOCK, rule.alias("rule"), F.col("__action").alias("action"))).alias("__best"))
+        rank = F.struct(F.length(rule), F.col("__labels"), F.col("__action") == BLOCK, rule.alias("rule"), F.col("__action").alias("action"))
+        ranked = hashed.groupBy("__prefix", "__digest").agg(F.max(rank).alias("rank"))
+        # the rules under a prefix go in one row, so that rows meet by the prefix alone and the full digest is compared after
+        under = ranked.groupBy("__prefix").agg(F.collect_list(F.struct(F.col("__digest").alias("digest"), "rank")).alias("__under"))
+        expressions = _hashed(sites.select("__site", "__start", F.explode(F.array_compact(forms)).alias("__form")).select("__site", "__start", "__form.*"), "__suffix", "__head")
+        confirmed = F.filter("__under", lambda x: x["digest"] == F.col("__digest"))
+        hits = expressions.join(under, "__prefix").select("__site", "__start", F.explode(confirmed).alias("__hit"))
+        # stored, so that the join sees its size: it goes to all rows, or the rows of a hot host are split
+        best = written(hits.groupBy("__site", "__start").agg(F.max("__hit.rank").alias("__best")), "url-hits")
+        best = broadcast_below(best, max_broadcast_sites)
         read = read.join(best, (read["__host"] == best["__site"]) & (read["__seen"] == best["__start"]), "left")
     else:
         read = read.withColumn("__best", F.lit(None).cast("struct<rule:string,action:string>"))
