@@ -5,9 +5,9 @@ one of their four quarters; the other 48 bits, as two halves of 24, hold all the
 share a Golay index (``golay.nearby``), and the pair meets at a key of quarter and two indices; else the other half is equal, and the pair
 meets at a key of quarter and half. Each key has 40 bits; a fingerprint has about 120 keys, fewer where a half lies close to a codeword.
 
-Keys are sorted, and fingerprints under one key are verified by their distance. A key that very many share is dealt to blocks of two
-chunks each, so that no task gets it whole; inside a block only a spanning forest of the links is emitted, never all pairs. Links become components
-by alternating stars.
+Keys are sorted, and fingerprints under one key are verified by their distance. A key that more than ``CHUNK`` share goes out again
+and is dealt to blocks of two chunks each, so that no task compares or holds it whole; inside a block only a spanning forest of the links is emitted, never
+all pairs. Links become components by alternating stars.
 """
 
 from __future__ import annotations
@@ -85,17 +85,6 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[i : i + 2048][at])], names=["key", "print"])
 
 
-def _often(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keys that ``least`` fingerprints of this task have, with their number."""
-        held = [keys_of(x[i : i + 2048])[0] for b in batches for x in [b.column(0).to_numpy().view(np.uint64)] for i in range(0, len(x), 2048)]
-        if held:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[n >= least]), pa.array(n[n >= least])], names=["key", "n"])
-
-    return run
-
-
 def _forest(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links of a spanning forest, found by growing one tree after the other."""
     left = np.arange(len(prints))
@@ -114,36 +103,55 @@ def _forest(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             front, left = left[near], left[~near]
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between fingerprints under one key; rows come sorted by key."""
-    held_keys, held = np.empty(0, np.int64), np.empty(0, np.uint64)
-
-    def links(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        size = np.diff(np.append(new, len(keys)))
-        ends = []
-        for at, n in zip(new[size > 32], size[size > 32], strict=True):
-            ends += [(prints[at + i], prints[at + j]) for i, j in _forest(prints[at : at + n])]
-        few = np.repeat(size <= 32, size)
-        keys, prints = keys[few], prints[few]
-        at, step = np.arange(len(keys)), 0
-        while len(at):
-            step += 1
-            at = at[at + step < len(keys)]
-            at = at[keys[at] == keys[at + step]]
-            near = at[np.bitwise_count(prints[at] ^ prints[at + step]) <= DISTANCE]
-            ends.append((prints[near], prints[near + step]))
-        u, v = (np.concatenate([e[k] for e in ends] or [np.empty(0, np.uint64)]).view(np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+def _under_one_key(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of links between fingerprints under one key; rows are sorted by key."""
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    size = np.diff(np.append(new, len(keys)))
+    ends = []
+    for at, n in zip(new[size > 32], size[size > 32], strict=True):
+        ends += [(prints[at + i], prints[at + j]) for i, j in _forest(prints[at : at + n])]
+    few = np.repeat(size <= 32, size)
+    keys, prints = keys[few], prints[few]
+    at, step = np.arange(len(keys)), 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(keys)]
+        at = at[keys[at] == keys[at + step]]
+        near = at[np.bitwise_count(prints[at] ^ prints[at + step]) <= DISTANCE]
+        ends.append((prints[near], prints[near + step]))
+    return tuple(np.concatenate([e[k] for e in ends] or [np.empty(0, np.uint64)]).view(np.int64) for k in (0, 1))
+
+
+def _link(most: int | None):
+    """Rows (key, u, v): links, without a key; and the fingerprints u of each key that more than ``most`` share, for ``linked`` to deal."""
 
-    for b in batches:
-        keys, prints = np.concatenate((held_keys, b.column(0).to_numpy())), np.concatenate((held, b.column(1).to_numpy().view(np.uint64)))
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        held_keys, held = keys[cut:], prints[cut:]
-        if cut:
-            yield links(keys[:cut], prints[:cut])
-    if len(held_keys):
-        yield links(held_keys, held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_keys, held, hot = np.empty(0, np.int64), np.empty(0, np.uint64), None
+
+        def out(keys: np.ndarray, prints: np.ndarray, hot: int | None) -> pa.RecordBatch:
+            first, ends = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), []
+            size = np.diff(np.append(first, len(keys)))
+            large = np.repeat((size > most) | (keys[first] == hot) if most else np.zeros(len(size), bool), size)
+            u, v = _under_one_key(keys[~large], prints[~large]) if not large.all() else (np.empty(0, np.int64),) * 2
+            ends = [pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(keys[large])]), pa.concat_arrays([pa.array(u), pa.array(prints[large].view(np.int64))]), pa.concat_arrays([pa.array(v), pa.nulls(int(large.sum()), pa.int64())])]
+            return pa.RecordBatch.from_arrays(ends, names=["key", "u", "v"])
+
+        for b in batches:
+            keys, prints = np.concatenate((held_keys, b.column(0).to_numpy())), np.concatenate((held, b.column(1).to_numpy().view(np.uint64)))
+            if not len(keys):
+                continue
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield out(keys[:cut], prints[:cut], hot)
+            held_keys, held = keys[cut:], prints[cut:]
+            if most and (len(held) > most or keys[-1] == hot):  # a hot key goes out as it comes, so that no task holds it whole
+                hot = int(keys[-1])
+                yield out(held_keys, held, hot)
+                held_keys, held = held_keys[:0], held[:0]
+        if len(held_keys):
+            yield out(held_keys, held, hot)
+
+    return run
 
 
 def linked(prints: DataFrame) -> DataFrame:
@@ -151,16 +159,18 @@ def linked(prints: DataFrame) -> DataFrame:
 
     ``prints`` is a written table of distinct fingerprints (print: long).
     """
-    parts = max(1, prints.rdd.getNumPartitions())
-    least = max(2, 2 * CHUNK // parts)  # a key that 2 CHUNK fingerprints share has as many in some task
-    often = written(map_arrow(prints, _often(least), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > CHUNK), "often")
+    schema = "key long, u long, v long"
     keys = map_arrow(prints, _emit, "key long, print long")
-    if len(often.limit(1).toArrow()):
-        chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-        dealt = keys.join(broadcast_below(often, 100_000), "key", "left").withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("print"), F.col("chunks")).cast("int"))
-        dealt = dealt.select("key", "print", "mine", F.explode_outer(F.when(F.col("chunks").isNotNull(), F.sequence(F.lit(0), F.col("chunks") - 1))).alias("other"))
-        keys = dealt.select(F.when(F.col("other").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"), "print")
-    return map_arrow(keys.repartition(F.col("key")).sortWithinPartitions("key"), _link, "u long, v long").distinct()
+    found = written(map_arrow(keys.repartition(F.col("key")).sortWithinPartitions("key"), _link(CHUNK), schema), "links")
+    links = found.filter("key is null").select("u", "v")
+    hot = found.filter("key is not null")
+    if len(hot.limit(1).select("key").toArrow()):
+        sizes = written(hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")).withColumnRenamed("key", "of"), "hot-keys")
+        dealt = hot.join(broadcast_below(sizes, 100_000), F.col("key") == F.col("of")).withColumn("mine", F.pmod(F.xxhash64("u"), F.col("chunks")).cast("int"))
+        dealt = dealt.select("key", "u", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        blocks = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), F.col("u").alias("print"))
+        links = links.unionAll(map_arrow(blocks.repartition(F.col("key")).sortWithinPartitions("key"), _link(None), schema).select("u", "v"))
+    return links.distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
