@@ -13,15 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomhouse.llm import words as W
-from loomhouse.llm.shared import map_arrow, prepare
+from loomhouse.llm.shared import broadcast_below, map_arrow, prepare, written
 
 HIDDEN = 12
 STRIDE, MARGIN = 224, 16
-AT_ONCE = 2048
+AT_ONCE = 1024
+LEAST_BATCH, MOST_BATCH = 128, 512
 UNKNOWN = "und"
 _LETTER = np.array([c >= 128 or chr(c).isalpha() for c in range(256)])
 
@@ -88,20 +89,23 @@ class Network:
         return np.concatenate((self.ways[0].run(x, a), self.ways[1].run(x[::-1], b)[::-1]), 2)
 
     def shares(self, states: np.ndarray) -> np.ndarray:
-        y = states @ self.out + self.bias
+        y = states @ self.out
+        y += self.bias
         y -= y.max(-1, keepdims=True)
         np.exp(y, out=y)
         y /= y.sum(-1, keepdims=True)
         return y
 
-    def train(self, windows: np.ndarray, labels: np.ndarray, steps: int = 400, batch: int = 128, rate: float = 0.02, seed: int = 12) -> None:
-        """Adam on windows of bytes (one a row); each language weighs the same."""
+    def train(self, windows: np.ndarray, labels: np.ndarray, steps: int = 400, rate: float = 0.02, seed: int = 12) -> None:
+        """Adam on windows of bytes (one a row), which are dealt to the steps in random order, again if they are few; each language weighs the same."""
         rng = np.random.default_rng(seed)
+        rounds = max(1, -(-LEAST_BATCH * steps // len(labels)))
+        dealt = np.array_split(np.concatenate([rng.permutation(len(labels)) for _ in range(rounds)]), steps)
         weight = (len(labels) / len(self.languages) / np.maximum(1, np.bincount(labels, minlength=len(self.languages)))).astype(np.float32)
         values = [self.ways[0].byte, self.ways[0].back, self.ways[1].byte, self.ways[1].back, self.out, self.bias]
         first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
         for step in range(1, steps + 1):
-            some = rng.integers(0, len(labels), min(batch, len(labels)))
+            some = dealt[step - 1]
             x, y = windows[some].T.astype(np.intp), labels[some]
             keep: tuple[list, list] = ([], [])
             states = self.states(x, keep)
@@ -142,26 +146,36 @@ class Network:
         return total / np.maximum(1, letters)[:, None]
 
 
-def sample_windows(docs: DataFrame, training: Column, text_col: str, lang_col: str, id_col: str, rows: int, windows: int, length: int) -> list[tuple[str, bytes]]:
-    """(language, bytes) of ``windows`` places in each of ``rows`` labelled texts, those with the least hash of the id."""
-    text, lang, ident = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`"), F.col(f"`{id_col}`")
-    wanted = docs.filter(training & lang.isNotNull() & text.isNotNull() & ident.isNotNull())
-    chosen = wanted.select(ident.alias("__id"), F.xxhash64(ident, F.lit("sample")).alias("__hash")).orderBy("__hash", "__id").limit(rows).select("__id").distinct()
-    place = [F.pmod(F.xxhash64(ident, F.lit(k)), F.greatest(F.lit(1), F.length(text) - length)).cast("int") + 1 for k in range(windows)]
-    pieces = F.explode(F.array(*(F.substring(text, p, F.lit(length)) for p in place)))
-    got = wanted.join(F.broadcast(chosen), ident == F.col("__id"), "left_semi").select(lang.alias("lang"), pieces.alias("piece")).filter(F.length("piece") > 0)
-    return sorted((r["lang"], r["piece"].encode()[:length]) for r in got.toLocalIterator())
-
+def sample_texts(docs: DataFrame, training: Column, text_col: str, lang_col: str, id_col: str, rows_each: int) -> list[tuple[str, bytes]]:
+    """(language, whole text in UTF-8) of up to ``rows_each`` labelled rows of every language, those with the least hash of id and text.
 
-def trained(samples: list[tuple[str, bytes]], length: int = 64, **options) -> Network | None:
+    Rows that are equal in language, id and text are one. A hash bound that leaves about twice the rows wanted comes before the ranks of a language, so that no task gets all rows of a frequent one.
+    """
+    text, lang, ident = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`"), F.col(f"`{id_col}`")
+    wanted = docs.filter(training & lang.isNotNull() & text.isNotNull() & ident.isNotNull()).select(lang.alias("lang"), ident.alias("id"), text.alias("text"))
+    hashed = wanted.withColumn("hash", F.xxhash64("id", "text"))
+    share = hashed.groupBy("lang").agg((F.lit(2.0 * rows_each) / F.approx_count_distinct("hash")).alias("share"))
+    few = hashed.join(broadcast_below(written(share.withColumnRenamed("lang", "of"), "languages"), 100_000), F.col("lang") == F.col("of"))
+    few = few.filter((F.shiftrightunsigned(F.xxhash64("hash", F.lit("sample")), 11) / F.lit(float(1 << 53))) < F.col("share"))
+    once = few.groupBy("lang", "id", "hash").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))
+    got = once.withColumn("rank", rank).filter(F.col("rank") <= rows_each).select("lang", "text")
+    return sorted((r["lang"], r["text"].encode()) for r in got.toLocalIterator())
+
+
+def trained(samples: list[tuple[str, bytes]], length: int = 64, steps: int = 400, **options) -> Network | None:
+    """A network of the samples' languages, which learns from each window of ``length`` bytes of every text once, the last one filled up with spaces."""
+    samples = [(lang, text) for lang, text in samples if text]
     if not samples:
         return None
     network = Network(sorted({lang for lang, _ in samples}))
-    windows = np.full((len(samples), length), 32, np.uint8)
-    for i, (_, piece) in enumerate(samples):
-        windows[i, : min(length, len(piece))] = np.frombuffer(piece[:length], np.uint8)
     code = {x: i for i, x in enumerate(network.languages)}
-    network.train(windows, np.array([code[lang] for lang, _ in samples]), **options)
+    windows, labels = [], []
+    for lang, text in samples:
+        n = -(-len(text) // length)
+        windows.append(np.frombuffer(text.ljust(n * length), np.uint8).reshape(n, length))
+        labels += [code[lang]] * n
+    network.train(np.concatenate(windows), np.array(labels), max(steps, len(labels) // MOST_BATCH), **options)
     return network
 
 
@@ -182,16 +196,16 @@ def _label(sent, names: list[str]):
 
 
 def identify(
-    docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", keep_text: bool = False, sample_rows: int = 4000, sample_windows_each: int = 2, window: int = 64, model: Network | None = None
+    docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", keep_text: bool = False, sample_rows: int = 250, window: int = 64, model: Network | None = None
 ) -> DataFrame:
     """``docs`` with lang_pred and score, and without the text unless ``keep_text``.
 
-    The network learns from ``sample_windows_each`` windows in each of at most ``sample_rows`` rows where ``training`` holds and id, text and language are not
-    null; ids may repeat. lang_pred is a learned language, and ``und`` with score 0 where the text is null or without a letter, or if there was nothing to learn from;
+    The network learns from the whole texts of at most ``sample_rows`` rows of each language, where ``training`` holds and id, text and language are not
+    null; ids may repeat. Every text is labelled whole, however long. lang_pred is a learned language, and ``und`` with score 0 where the text is null or without a letter, or if there was nothing to learn from;
     score is the language's mean probability. Ties go to the language that sorts first. Columns named as new ones are replaced.
     """
     spark = prepare(docs.sparkSession)
-    network = model or trained(sample_windows(docs, training, text_col, lang_col, id_col, sample_rows, sample_windows_each, window), window)
+    network = model or trained(sample_texts(docs, training, text_col, lang_col, id_col, sample_rows), window)
     new = ("lang_pred", "score")
     kept = [c for c in docs.columns if c not in new and (keep_text or c != text_col)]
     names = [f"c{i}" for i in range(len(kept))]
