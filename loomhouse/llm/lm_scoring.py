@@ -11,25 +11,28 @@ probabilities at 1 or less, but for the filter's false positives (about 1 in 100
 
 A filter of ``max_filter_bytes`` at most is broadcast, and texts are scored in one pass. The table of the most frequent words, which
 has ``head_words`` rows at most, goes with it for the base score; other words are looked up by a shuffled join. Beyond that size no filter is sent: each cell probes its own piece for
-the keys that slices of the texts have sent it, and the levels go back to the slices, which are read once more. Both ways probe the same pieces and give the
-same scores, and the work of both is in proportion to the text.
+the keys that slices of the texts have sent it, each key once, and the levels go back to the slices, which are read once more, text by text behind their levels. Both ways probe the
+same pieces and give the same scores, and the work of both is in proportion to the text. A worker unpacks one slice at a time, whatever the size of the corpus.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomhouse.llm import words as W
 from loomhouse.llm.shared import map_arrow, prepare, written
 
 FLUSH = 1 << 20
+#: Bytes of an Arrow batch, beyond which no further row enters it; whether a query's shuffle files go as it ends.
+BATCH_BYTES, CLEANUP = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of filter for a byte of text, more than has been seen; decides which way is tried first.
 FILTER_SHARE = 0.1
 #: Keys of the marks before and after a text.
@@ -40,6 +43,7 @@ _PARTS = pa.schema([("cell", pa.int64()), ("slice", pa.int64()), ("kind", pa.int
 _CELLS = pa.schema(
     [("cell", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("top", pa.int32()), ("word_keys", pa.binary()), ("word_counts", pa.binary()), ("word_bits", pa.binary()), ("gram_bits", pa.binary())]
 )
+_SLICES = pa.schema([("slice", pa.int64()), ("rows", pa.binary())])
 _ANSWERS = pa.schema([("slice", pa.int64()), ("kind", pa.int32()), ("cell", pa.int64()), ("levels", pa.binary()), ("counts", pa.binary()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -102,7 +106,7 @@ def _sums(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarra
     if counts is None:
         keys = np.sort(keys)
     else:
-        by = np.argsort(keys, kind="stable")
+        by = np.argsort(keys)
         keys, counts = keys[by], counts[by]
     if not len(keys):
         return keys, np.empty(0, np.int64)
@@ -110,9 +114,8 @@ def _sums(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarra
     return keys[new], np.diff(np.append(new, len(keys))) if counts is None else np.add.reduceat(counts, new)
 
 
-def _cut(kind: int, keys: np.ndarray, weights: np.ndarray | None, bits: int, slice_: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
-    """Distinct keys and their counts (or sums of weights) by cell."""
-    keys, counts = _sums(keys, weights)
+def _cut(kind: int, keys: np.ndarray, counts: np.ndarray, bits: int, slice_: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """Distinct keys, which ascend, and their counts by cell."""
     cells = cell_of(keys, bits)
     edges = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))) if len(cells) else cells
     held = keys if kind == WORDS else folded(keys, bits)
@@ -129,7 +132,7 @@ def _count(order: int, bits: int):
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = [x for i, kind in enumerate((WORDS, GRAMS)) for x in _cut(kind, np.concatenate([h[i] for h in held]), None, bits, 0)]
+            rows = [x for i, kind in enumerate((WORDS, GRAMS)) for x in _cut(kind, *_sums(np.concatenate([h[i] for h in held])), bits, 0)]
             for i in range(0, len(rows), 4096):
                 yield rows_of(_PARTS, rows[i : i + 4096])
 
@@ -318,16 +321,18 @@ def _gathered(pieces: DataFrame, bits: int, fold: bool) -> Filter:
     return out
 
 
-def _slice(names: list[str], slice_bytes: int):
-    """One row for some MB of texts: (slice, and a list for each column)."""
+def _slice(slice_bytes: int):
+    """One row for some MB of texts: (slice, their rows as a compressed Arrow stream), a value of which the JVM makes no columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slice_, held, size = TaskContext.get().partitionId() << 33, [], 0
 
         def out() -> pa.RecordBatch:
-            columns = [pa.concat_arrays([x.column(k) for x in held]) for k in names]
-            ends = pa.array([0, len(columns[0])], pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([slice_], pa.int64()), *(pa.ListArray.from_arrays(ends, x) for x in columns)], names=["slice", *names])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                for x in held:
+                    stream.write_batch(x)
+            return rows_of(_SLICES, [(slice_, sink.getvalue().to_pybytes())])
 
         for b in batches:
             for lo, hi, data, _ in W.texts(b.column("text")):
@@ -342,12 +347,12 @@ def _slice(names: list[str], slice_bytes: int):
     return run
 
 
-def _keys_of(texts: pa.Array, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(from text, to text, tokens, what is before each, owners, n-gram keys) of a slice, some of its texts at a time."""
-    for lo, hi, w in W.slices(texts, lower=True):
-        token, before, owner = sequence(w)
-        found = [*grams(token, before, order)]
-        yield lo, hi, token, before, owner, np.concatenate([_NONE, *(k for _, k, _ in found)]), np.concatenate([_NONE.astype(np.int64), *(p for p, _, _ in found)])
+def _learnt(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and how often each stands where ``training`` holds."""
+    distinct, (some, n) = _sums(keys)[0], _sums(keys[training])
+    counts = np.zeros(len(distinct), np.int64)
+    counts[np.searchsorted(distinct, some)] = n
+    return distinct, counts
 
 
 def _asked(order: int, bits: int):
@@ -355,19 +360,20 @@ def _asked(order: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, slice_ in enumerate(b.column("slice").to_pylist()):
-                training = b.column("training")[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
-                keys: dict[int, list[np.ndarray]] = {WORDS: [], GRAMS: []}
-                weights: dict[int, list[np.ndarray]] = {WORDS: [], GRAMS: []}
-                for lo, hi, token, _, owner, gram, pos in _keys_of(b.column("text")[i].values, order):
-                    learnt = training[lo:hi]
-                    keys[WORDS].append(np.append(token, np.full(hi - lo, BEGIN)))
-                    weights[WORDS].append(np.append(learnt[owner], learnt))
-                    keys[GRAMS].append(gram)
-                    weights[GRAMS].append(learnt[owner[pos]])
-                rows = [x for kind in (WORDS, GRAMS) for x in _cut(kind, np.concatenate(keys[kind]), np.concatenate(weights[kind]), bits, slice_)]
-                for k in range(0, len(rows), 4096):
-                    yield rows_of(_PARTS, rows[k : k + 4096])
+            for slice_, rows in zip(b.column("slice").to_pylist(), b.column("rows"), strict=True):
+                found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORDS: [], GRAMS: [(_NONE, np.empty(0, bool))]}
+                for x in pa.ipc.open_stream(rows.as_buffer()):
+                    training = x.column("training").to_numpy(zero_copy_only=False).astype(bool)
+                    for lo, hi, w in W.slices(x.column("text"), lower=True):
+                        token, before, owner = sequence(w)
+                        learnt = training[lo:hi]
+                        found[WORDS].append((np.append(token, np.full(hi - lo, BEGIN)), np.append(learnt[owner], learnt)))
+                        found[GRAMS] += [(key, learnt[owner[at]]) for at, key, _ in grams(token, before, order)]
+                for kind in (WORDS, GRAMS):
+                    keys, marks = map(np.concatenate, zip(*found.pop(kind), strict=True))
+                    parts = [*_cut(kind, *_learnt(keys, marks), bits, slice_)]
+                    for k in range(0, len(parts), 4096):
+                        yield rows_of(_PARTS, parts[k : k + 4096])
 
     return run
 
@@ -376,62 +382,116 @@ def _answer(base: float, bits_each: float, bits: int):
     """A cell's levels and word counts for the keys that each slice has sent; and the cell's words and tokens."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        cell, out, filters, exact = key[0].as_py(), [], {}, {}
+        cell, tops, exact = key[0].as_py(), [0], {}
+        kinds = rows.column("kind").to_numpy()
         n_words = n_tokens = 0
-        tops = [0]
         for kind in (WORDS, GRAMS):
-            keys, n = _merged(rows, kind)
-            keys, n = keys[n > 0], n[n > 0]
+            mine = rows.take(pa.array(np.flatnonzero(kinds == kind)))
+            sent = mine.column("keys").to_pylist()
+            flat = np.frombuffer(b"".join(sent), np.uint64 if kind == WORDS else np.uint32)
+            weights = np.frombuffer(b"".join(map(zlib.decompress, mine.column("counts").to_pylist())), "<u4")
+            by = np.argsort(flat)
+            ordered = flat[by]
+            new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(flat) else np.empty(0, bool)
+            distinct, rank = ordered[new], np.empty(len(flat), np.int32)
+            rank[by] = np.cumsum(new, dtype=np.int32) - 1
+            n = np.add.reduceat(weights[by], np.flatnonzero(new), dtype=np.int64) if len(flat) else np.empty(0, np.int64)
             if kind == WORDS:
-                real = keys != BEGIN
+                real = (distinct != BEGIN) & (n > 0)
                 n_words, n_tokens = int(real.sum()), int(n[real].sum())
-            exact[kind] = keys, n
-            tops.append(int(quantised(n, base).max()) if len(n) else 0)
-        for kind, (keys, n) in exact.items():
-            filters[kind] = piece(keys.astype(np.uint64), n, base, bits_each) if len(n) else None
+            tops.append(int(quantised(n.max(), base)) if n.any() else 0)
+            exact[kind] = mine.column("slice").to_pylist(), [len(x) // flat.itemsize for x in sent], distinct, rank, n
         prefix = np.uint64(cell << (64 - bits))
-        out.append((-1, 0, cell, b"", b"", n_words, n_tokens))
-        for slice_, kind, asked in zip(*(rows.column(x).to_pylist() for x in ("slice", "kind", "keys")), strict=True):
-            asked = np.frombuffer(asked, np.uint64 if kind == WORDS else np.uint32)
-            whole = asked if kind == WORDS else (asked.astype(np.uint64) << np.uint64(32 - bits)) | prefix
-            found = np.zeros(len(asked), np.int64)
-            if filters[kind] is not None:
-                found = Filter({cell: (max(tops), filters[kind])}, bits, kind == GRAMS).levels(whole)
-            counts = b""
-            if kind == WORDS:
-                words, n = exact[kind]
-                at = np.minimum(np.searchsorted(words, asked), max(0, len(words) - 1))
-                counts = zlib.compress((np.where(words[at] == asked, n[at], 0) if len(words) else np.zeros(len(asked))).astype("<u4").tobytes(), 1)
-            out.append((slice_, kind, cell, found.astype(np.uint8).tobytes(), counts, 0, 0))
+        out = [(-1, 0, cell, b"", b"", n_words, n_tokens)]
+        for kind, (slices, lengths, distinct, rank, n) in exact.items():
+            found = np.zeros(len(distinct), np.uint8)
+            if n.any():
+                blocks = piece(distinct[n > 0].astype(np.uint64), n[n > 0], base, bits_each)
+                whole = distinct if kind == WORDS else (distinct.astype(np.uint64) << np.uint64(32 - bits)) | prefix
+                found = Filter({cell: (max(tops), blocks)}, bits, kind == GRAMS).levels(whole).astype(np.uint8)
+            levels, at = found[rank].tobytes(), 0
+            counts = n.astype("<u4")[rank] if kind == WORDS else None
+            for slice_, length in zip(slices, lengths, strict=True):
+                held = b"" if counts is None else zlib.compress(counts[at : at + length].tobytes(), 1)
+                out.append((slice_, kind, cell, levels[at : at + length], held, 0, 0))
+                at += length
         return pa.Table.from_batches([rows_of(_ANSWERS, out)])
 
     return run
 
 
+def _looked(of: np.ndarray, levels: np.ndarray) -> Levels:
+    """The levels of keys that are all in ``of``, which ascends; they are looked up in their order, for the processor's cache."""
+
+    def look(keys: np.ndarray) -> np.ndarray:
+        by, out = np.argsort(keys), np.empty(len(keys), np.int64)
+        out[by] = levels[np.searchsorted(of, keys[by])]
+        return out
+
+    return look
+
+
 def _score_slices(order: int, base: float, mu: float, total: int, vocabulary: int, names: list[str]):
-    """The other way: a slice's texts with the levels of its keys, which come in order of the keys."""
+    """The other way: rows by ``at``, which is twice a slice for the levels of its keys, in the keys' order by cell, and one more for its rows."""
+
+    def scored(answers: list[pa.RecordBatch], docs: list[pa.Buffer]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((x for b in answers for x in zip(*(b.column(k).to_pylist() for k in ("kind", "cell", "levels", "counts")), strict=True)), key=lambda x: x[:2])
+        levels = {kind: np.frombuffer(b"".join(x[2] for x in rows if x[0] == kind), np.uint8) for kind in (WORDS, GRAMS)}
+        counts = np.frombuffer(b"".join(zlib.decompress(x[3]) for x in rows if x[0] == WORDS), "<u4")
+        # of the words, only keys stay between the two rounds
+        parts = []
+        for b in (b for rows in docs for b in pa.ipc.open_stream(rows)):
+            parts += [([b.column(x).slice(lo, hi - lo) for x in names], W.Words(_NONE, _NONE, _NONE, _NONE, w.key, w.first)) for lo, hi, w in W.slices(b.column("text"), lower=True)]
+        keys: dict[int, list[np.ndarray]] = {WORDS: [np.array([BEGIN])], GRAMS: [_NONE]}
+        for _, w in parts:
+            token, before, _ = sequence(w)
+            keys[WORDS].append(_sums(token)[0])
+            keys[GRAMS] += [_sums(key)[0] for _, key, _ in grams(token, before, order)]
+        words, ngrams = (_sums(np.concatenate(keys.pop(kind)))[0] for kind in (WORDS, GRAMS))
+        of_words, of_grams = _looked(words, levels[WORDS]), _looked(ngrams, levels[GRAMS])
+        for columns, w in parts:
+            token, before, owner = sequence(w)
+            logs, distinct, at = log_scores(token, before, order, base, mu, total, vocabulary, of_words, of_grams)
+            n, c = len(w.first) - 1, counts[np.searchsorted(words, distinct)][at]
+            sums = [np.bincount(owner, minlength=n).astype(np.int64), np.bincount(owner, c > 0, n).astype(np.int64), np.bincount(owner, np.log10(c + 1.0), n), np.bincount(owner, logs, n)]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, sums)], names=[*names, "n_tokens", "n_known", "known_sum", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slice_, answers, docs = -1, [], []
         for b in batches:
-            for i in range(b.num_rows):
-                answers = sorted(b.column("answers")[i].as_py(), key=lambda x: (x["kind"], x["cell"]))
-                of = lambda kind, k, answers=answers: b"".join(x[k] for x in answers if x["kind"] == kind)
-                levels = {kind: np.frombuffer(of(kind, "levels"), np.uint8).astype(np.int64) for kind in (WORDS, GRAMS)}
-                counts = np.frombuffer(b"".join(zlib.decompress(x["counts"]) for x in answers if x["kind"] == WORDS), "<u4")
-                parts = [*_keys_of(b.column("text")[i].values, order)]
-                words = np.unique(np.append(np.concatenate([x[2] for x in parts]), BEGIN))
-                keys = np.unique(np.concatenate([x[5] for x in parts]))
-                columns = [b.column(x)[i].values for x in names]
-                for lo, hi, token, before, owner, _, _ in parts:
-                    looked = lambda of, kind, levels=levels: lambda k: levels[kind][np.searchsorted(of, k)]
-                    logs, distinct, at = log_scores(token, before, order, base, mu, total, vocabulary, looked(words, WORDS), looked(keys, GRAMS))
-                    n, c = hi - lo, counts[np.searchsorted(words, distinct)][at]
-                    sums = [np.bincount(owner, minlength=n).astype(np.int64), np.bincount(owner, c > 0, n).astype(np.int64), np.bincount(owner, np.log10(c + 1.0), n), np.bincount(owner, logs, n)]
-                    yield pa.RecordBatch.from_arrays([*(x.slice(lo, n) for x in columns), *map(pa.array, sums)], names=[*names, "n_tokens", "n_known", "known_sum", "score"])
+            at = b.column("at").to_numpy()
+            edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                if at[lo] >> 1 != slice_:
+                    yield from scored(answers, docs)
+                    slice_, answers, docs = at[lo] >> 1, [], []
+                if at[lo] & 1:
+                    docs += [x.as_buffer() for x in b.column("rows").slice(lo, hi - lo)]
+                else:
+                    answers.append(b.slice(lo, hi - lo))
+        yield from scored(answers, docs)
 
     return run
 
 
+@contextmanager
+def _held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings that hold inside only."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def score_texts(
     docs: DataFrame,
     training: Column,
@@ -494,15 +554,17 @@ def score_texts(
         return result(joined.withColumns(sums), total, vocabulary)
 
     def by_cells() -> DataFrame:
-        lists = ", ".join(["slice long", *(f"{x} array<{types[c]}>" for x, c in zip(names, kept, strict=True)), "training array<boolean>, text array<string>"])
-        slices = written(map_arrow(source, _slice([*names, "training", "text"], slice_bytes), lists), "lm-slices")
-        parts = map_arrow(slices.select("slice", "training", "text"), _asked(order, bits), spark_schema(_PARTS))
-        answers = written(parts.groupBy("cell").applyInArrow(_answer(base, bits_each, bits), spark_schema(_ANSWERS)), "lm-answers")
+        slices = written(map_arrow(source, _slice(slice_bytes), spark_schema(_SLICES)), "lm-slices")
+        parts = map_arrow(slices, _asked(order, bits), spark_schema(_PARTS))
+        # slices, which have some MB each, go to Python one by one; the parts' shuffle, as large as the input, goes once the answers are stored
+        with _held(spark, {BATCH_BYTES: str(1 << 20), CLEANUP: "true"}):
+            answers = written(parts.groupBy("cell").applyInArrow(_answer(base, bits_each, bits), spark_schema(_ANSWERS)), "lm-answers")
         total, vocabulary = (x or 0 for x in answers.agg(F.sum("n_tokens"), F.sum("n_words")).first())
-        of_slice = answers.filter("kind > 0").groupBy(F.col("slice").alias("of")).agg(F.collect_list(F.struct("kind", "cell", "levels", "counts")).alias("answers"))
-        joined = slices.drop("training").join(of_slice, F.col("slice") == F.col("of"))
+        # a slice's levels stay rows of their own, ahead of its texts
+        levels = answers.filter("kind > 0").select("slice", "kind", "cell", "levels", "counts", (F.col("slice") * 2).alias("at"))
+        rows = levels.unionByName(slices.withColumn("at", F.col("slice") * 2 + 1), allowMissingColumns=True).repartition("slice").sortWithinPartitions("at")
         schema = ", ".join([*carried, "n_tokens long, n_known long, known_sum double, score double"])
-        return result(map_arrow(joined.select(*names, "text", "answers"), _score_slices(order, base, mu, total, vocabulary, names), schema), total, vocabulary)
+        return result(map_arrow(rows.drop("slice"), _score_slices(order, base, mu, total, vocabulary, names), schema), total, vocabulary)
 
     found = by_broadcast() if size * FILTER_SHARE <= max_filter_bytes else None
     return found if found is not None else by_cells()

@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,32 @@ def test_a_full_filter_ends(spark):
     assert full.levels(np.arange(9, dtype=np.uint64)).tolist() == [7] * 9
 
 
+def test_a_cell_probes_a_key_once_however_many_slices_ask(monkeypatch):
+    keys, probed, levels = np.unique(np.random.default_rng(2).integers(0, 1 << 32, 1000, dtype=np.uint32)), [], lm_scoring.Filter.levels
+    monkeypatch.setattr(lm_scoring.Filter, "levels", lambda self, asked: probed.append(len(asked)) or levels(self, asked))
+    rows = [(3, s, lm_scoring.GRAMS, keys[s:].tobytes(), zlib.compress(np.full(len(keys) - s, s % 2, "<u4").tobytes())) for s in range(50)]
+    table = pa.Table.from_batches([lm_scoring.rows_of(lm_scoring._PARTS, rows)])
+    got = lm_scoring._answer(1.5, 4000.0, 5)((pa.scalar(3),), table).to_pylist()
+    counts = np.array([len([s for s in range(1, 50, 2) if s <= i]) for i in range(len(keys))])
+    want = np.where(counts > 0, lm_scoring.quantised(np.maximum(counts, 1), 1.5), 0)
+    assert [list(x["levels"]) for x in got if x["slice"] >= 0] == [want[s:].tolist() for s in range(50)]
+    assert sum(probed) == len(keys)
+
+
+def test_cells_answer_rows_are_streamed_and_columns_of_any_type_return(spark):
+    """A slice's answers are neither gathered in one row nor joined; settings are as before."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    typed = docs.selectExpr("*", "timestamp_seconds(doc_id) as t", "cast(doc_id as decimal(9, 2)) as d", "array(left(text, 3), null) as a", "named_struct('x', doc_id, 'y', date'2024-01-01') as s", "cast(null as binary) as b")
+    settings = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = [spark.conf.get(k, None) for k in settings]
+    one, more = (lm_scoring.score_texts(typed, F.col("doc_id") % 3 != 0, **options) for options in ({}, {"max_filter_bytes": 0, "slice_bytes": 20_000}))
+    assert [spark.conf.get(k, None) for k in settings] == before
+    plan = more._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Join" not in plan
+    assert one.schema == more.schema
+    assert [x[:8] for x in sorted(map(tuple, more.collect()))] == [x[:8] for x in sorted(map(tuple, one.collect()))]
+
+
 def test_model_beats_the_base_on_held_out_texts_and_is_a_distribution(spark):
     got = entry.queries()["op1_lm_scoring"](spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
